@@ -18,7 +18,7 @@ FOLDED_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Words between ASCII white space.
 SPACED_WORD = r"[^\x20\x09-\x0D]+"
-ASCII_FOLD = {i: i + 32 for i in range(65, 91)}
+SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -38,7 +38,6 @@ class Risk:
             "symbols_per_word": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5],
             "shouts_per_word": [0.02, 0.05, 0.1, 0.2, 0.3, 0.5],
             "repeat_share": [0.01, 0.02, 0.05, 0.1, 0.15],
-            "same_neighbour_share": [0.02, 0.05, 0.1, 0.2, 0.3],
             "dup_line_share": [0.05, 0.1, 0.2, 0.3, 0.5],
             "chars_per_word": [9.0, 10.0, 12.0, 15.0, 20.0],
         }
@@ -48,16 +47,16 @@ class Risk:
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, stratum, the base counts and the ratios of the rules."""
     text = F.coalesce("text", F.lit(""))
-    words = docs.select("doc_id", "stratum", text.alias("text"), F.regexp_extract_all(text, F.lit(C.SPACED_WORD), F.lit(0)).alias("words"))
+    words = docs.select("doc_id", "stratum", text.alias("text"), F.array_remove(F.split(text, C.SPACE_RUN, -1), "").alias("words"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: x.rlike(C.SPACED_WORD))
-    grams = F.expr("if(size(words) < 5, cast(array() as array<bigint>), transform(sequence(1, size(words) - 4), i -> xxhash64(words[i - 1], words[i], words[i + 1], words[i + 2], words[i + 3])))")
-    same = F.expr("if(size(words) < 2, 0, size(filter(zip_with(slice(words, 1, size(words) - 1), slice(words, 2, size(words) - 1), (a, b) -> a = b), x -> x)))")
+    marks = F.regexp_replace("text", r"[^#*$%&|<>!]+", "")
+    words = words.select("doc_id", "stratum", "words", marks.alias("marks"), lines.alias("lines"), F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    grams = F.expr("if(size(h) < 5, cast(array() as array<bigint>), transform(sequence(1, size(h) - 4), i -> xxhash64(h[i - 1], h[i], h[i + 1], h[i + 2], h[i + 3])))")
     wide = words.select(
         "doc_id", "stratum", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"), F.length(F.regexp_replace("text", r"[^!]+", "")).alias("n_shouts"),
-        lines.alias("lines"), grams.alias("grams"), same.alias("n_same"),
+        F.length(F.replace("marks", F.lit("!"), F.lit(""))).cast("long").alias("n_symbols"), F.length("marks").alias("n_marks"), "lines", grams.alias("grams"),
     )
-    wide = wide.select("*", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").alias("n_lines"))
+    wide = wide.select("*", (F.col("n_marks") - F.col("n_symbols")).alias("n_shouts"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").alias("n_lines"))
     # Positions of windows found twice or more, from neighbours in hash order; each covers five words, but not past the next one's.
     sorted_grams = F.sort_array(F.expr("transform(grams, (x, i) -> struct(x as h, i as i))"))
     twice = wide.select("*", (F.size(F.array_distinct("grams")) < F.size("grams")).alias("twice"))
@@ -70,7 +69,7 @@ def features(docs: DataFrame) -> DataFrame:
     return done.select(
         "doc_id", "stratum", *BASE,
         per("n_symbols", "n_words").alias("symbols_per_word"), per("n_shouts", "n_words").alias("shouts_per_word"), per("n_repeat_words", "n_words").alias("repeat_share"),
-        per("n_same", "n_words").alias("same_neighbour_share"), per("n_dup_lines", "n_lines").alias("dup_line_share"), per("word_chars", "n_words").alias("chars_per_word"),
+        per("n_dup_lines", "n_lines").alias("dup_line_share"), per("word_chars", "n_words").alias("chars_per_word"),
     )
 
 
@@ -130,9 +129,9 @@ r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p,
 base AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
     len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_own_lines,
-    coalesce(r.n, 0) AS n_repeat_words, len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) AS n_same FROM d LEFT JOIN r USING (doc_id)),
+    coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_lines - n_own_lines AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_shouts / greatest(n_words, 1) AS shouts_per_word,
-    n_repeat_words / greatest(n_words, 1) AS repeat_share, n_same / greatest(n_words, 1) AS same_neighbour_share, (n_lines - n_own_lines) / greatest(n_lines, 1) AS dup_line_share, word_chars / greatest(n_words, 1) AS chars_per_word FROM base),
+    n_repeat_words / greatest(n_words, 1) AS repeat_share, (n_lines - n_own_lines) / greatest(n_lines, 1) AS dup_line_share, word_chars / greatest(n_words, 1) AS chars_per_word FROM base),
 t(rule, cutoff) AS (VALUES {tests}),
 marked AS (SELECT f.*, m > 0 AS good FROM f JOIN (SELECT doc_id, min(quality) AS m FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
 k AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS m, count(*) FILTER (WHERE good AND {value} > cutoff) AS k, count(*) FILTER (WHERE NOT good AND {value} > cutoff) AS b FROM marked, t GROUP BY ALL HAVING n > 0),
