@@ -152,3 +152,8 @@ def runs_of(keys: np.ndarray):
     """(start, end) of each run of equal neighbours."""
     cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
     return zip(cuts[:-1], cuts[1:]) if len(keys) else ()
+
+
+def flat_float64(rows: np.ndarray) -> pa.Array:
+    """A list<double> column from a matrix."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows, np.float64).ravel()))
