@@ -26,13 +26,18 @@ TOKEN = re.compile(C.FOLDED_WORD + r"|[!-/:-@\[-`{-~]+")
 
 @dataclass(frozen=True)
 class Ftrl:
+    """least_rows: labelled rows that a feature must occur in. calibrate: one in so many
+    rows isn't trained on, but fits the scale and offset that turn sums of weights into probabilities."""
+
     bits: int = 18
     alpha: float = 0.1
     beta: float = 1.0
-    l1: float = 0.5
+    l1: float = 20.0
     l2: float = 0.1
-    epochs: int = 4
-    most_rows: int = 12_000
+    epochs: int = 5
+    least_rows: int = 3
+    calibrate: int = 5
+    most_rows: int = 8_000
 
 
 class Features:
@@ -72,6 +77,11 @@ def train(rows: list[tuple[int, np.ndarray]], classes: int, cfg: Ftrl) -> tuple[
     def weights(z, n):
         return np.where(np.abs(z) <= cfg.l1, 0.0, -(z - np.sign(z) * cfg.l1) / ((cfg.beta + np.sqrt(n)) / cfg.alpha + cfg.l2))
 
+    seen = np.zeros(size, np.int32)
+    for _, f in rows:
+        seen[f] += 1
+    rows = [(y, f[seen[f] >= cfg.least_rows]) for y, f in rows]
+    kept, rows = rows[:: cfg.calibrate], [r for k, r in enumerate(rows) if k % cfg.calibrate]
     order = np.random.default_rng(5)
     for _ in range(cfg.epochs):
         for k in order.permutation(len(rows)):
@@ -85,7 +95,21 @@ def train(rows: list[tuple[int, np.ndarray]], classes: int, cfg: Ftrl) -> tuple[
             n[:, f] = nf + g2
             bias_n += g * g
             bias -= cfg.alpha / (cfg.beta + np.sqrt(bias_n)) * g
-    return weights(z, n), bias
+    w = weights(z, n)
+    for c in range(classes):
+        scale, offset = calibration(np.array([w[c, f].sum() + bias[c] for _, f in kept]), np.array([float(y == c) for y, _ in kept]))
+        w[c], bias[c] = w[c] * scale, bias[c] * scale + offset
+    return w, bias
+
+
+def calibration(s: np.ndarray, y: np.ndarray, steps: int = 30) -> tuple[float, float]:
+    """Scale and offset of a one-dimensional logistic fit, by Newton's method; a weak prior keeps both near (1, 0)."""
+    v, x = np.array([1.0, 0.0]), np.stack([s, np.ones(len(s))], 1)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -30, 30)))
+        grad = x.T @ (p - y) + 0.1 * (v - [1, 0])
+        v = v - np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2), grad)
+    return (float(v[0]), float(v[1])) if np.isfinite(v).all() and v[0] > 0 else (1.0, 0.0)
 
 
 def _fit(classes: int, cfg: Ftrl):
