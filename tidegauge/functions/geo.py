@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NUMBER = r"[-+]?\d+(?:\.\d*)?(?:[eE][-+]?\d+)?"
 
@@ -125,14 +126,14 @@ def _two(of, kind):
     return run
 
 
-st_distance = _two(distance, "double")
-st_contains, st_intersects, st_equals, st_touches, st_covers = (_two(f, "boolean") for f in (contains, intersects, equals, touches, covers))
+st_distance = _two(distance, T.DoubleType())
+st_contains, st_intersects, st_equals, st_touches, st_covers = (_two(f, T.BooleanType()) for f in (contains, intersects, equals, touches, covers))
 
 
 def st_dwithin(a, b, within: float):
     return st_distance(a, b) <= F.lit(float(within))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def st_area(a: pd.Series) -> pd.Series:
     return pd.Series([None if x is None else area(parse(x)) for x in a], dtype=object)

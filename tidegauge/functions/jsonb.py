@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def get(x: Column, *path: str | int) -> Column:
@@ -24,7 +25,7 @@ def _holds(a, b) -> bool:
     return type(a) is type(b) and a == b
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def contains(a: pd.Series, b: pd.Series) -> pd.Series:
     """a @> b."""
     return pd.Series([None if x is None or y is None else _holds(json.loads(x), json.loads(y)) for x, y in zip(a, b)], dtype=object)
@@ -35,19 +36,19 @@ def _keys(a) -> set:
     return set(a) if isinstance(a, dict) else {x for x in a if isinstance(x, str)} if isinstance(a, list) else {a} if isinstance(a, str) else set()
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_any(a: pd.Series, keys: pd.Series) -> pd.Series:
     """a ?| keys."""
     return pd.Series([None if x is None or y is None else bool(_keys(x) & set(y)) for x, y in zip(a, keys)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def has_all(a: pd.Series, keys: pd.Series) -> pd.Series:
     """a ?& keys."""
     return pd.Series([None if x is None or y is None else set(y) <= _keys(x) for x, y in zip(a, keys)], dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def remove(a: pd.Series, path: pd.Series) -> pd.Series:
     """a #- path."""
 

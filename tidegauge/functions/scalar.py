@@ -7,6 +7,7 @@ import operator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _unless(bad: Column, message: str, value: Column) -> Column:
@@ -110,7 +111,7 @@ def _fnv(bits: int, prime: int, basis: int, xor_first: bool):
             h = ((h ^ byte) * prime) & mask if xor_first else ((h * prime) & mask) ^ byte
         return h - (1 << 64) if h >= 1 << 63 else h
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf(T.LongType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(one, na_action="ignore").astype("Int64")
 
@@ -135,7 +136,7 @@ def _crc_table() -> list[int]:
     return table
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def crc32c(s: pd.Series) -> pd.Series:
     table = _crc_table()
 
