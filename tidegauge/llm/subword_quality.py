@@ -163,7 +163,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cfg: Subwords = Subwords(
     marks = labels.select(labels[doc_id].alias("m_id"), labels[label].alias("m")).groupBy("m_id").agg(F.min("m").alias("y"))
     rows = sample(docs, marks, ~C.held_out(F.col("m_id")), cfg.most_rows).mapInArrow(_extract(cfg), "h long, y long, units binary, shares binary")
     parts = rows.repartition(1).sortWithinPartitions("h", "units").mapInArrow(_fit(2, cfg), "part binary").toArrow().column(0).to_pylist()
-    vectors, layer, bias = (np.frombuffer(p, np.float32) for p in parts)
+    vectors, layer, bias = (np.frombuffer(p, np.float32) for p in parts) if parts else (np.zeros(n, np.float32) for n in (cfg.dim << cfg.bits, 2 * cfg.dim, 2))
     sent = docs.sparkSession.sparkContext.broadcast((vectors.reshape(-1, cfg.dim), layer.reshape(cfg.dim, 2), bias))
     scored = docs.mapInArrow(_score(sent, cfg), "doc_id long, score double")
     return scored.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
