@@ -18,11 +18,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .url_filter import BlockedBloom
 
 
 @dataclass(frozen=True)
@@ -257,6 +259,23 @@ def _buckets(reps: DataFrame, plan: ChosenPaths) -> DataFrame:
     return dealt.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "block", (F.col("block") != F.col("other")).alias("across"), "first")
 
 
+def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000, most_filter_bytes: int = 64 << 20) -> DataFrame:
+    """Documents of the given ids. Ids are counted first: few are broadcast; more make a Bloom filter of bounded size, so that
+    the exact join that follows doesn't deal out the texts of all other documents."""
+    n = ids.count()
+    if n <= broadcast_ids:
+        return docs.join(F.broadcast(ids), "doc_id", "left_semi")
+    if n * 12 // 8 <= most_filter_bytes:
+        words = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(ids.select(F.xxhash64("doc_id").alias("h")), n).words)
+
+        @F.pandas_udf("boolean")
+        def may_hold(h: pd.Series) -> pd.Series:
+            return pd.Series(BlockedBloom(words.value).may_hold(h.to_numpy(np.int64)))
+
+        docs = docs.filter(may_hold(F.xxhash64("doc_id")))
+    return docs.join(ids, "doc_id", "left_semi")
+
+
 def jaccard_join(docs: DataFrame, plan: ChosenPaths = ChosenPaths(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, class_id (least id of all that links connect with it), n_links (other
     documents of similarity `threshold` or more, copies included), n_text_links (the same, of different shingle
@@ -272,7 +291,7 @@ def jaccard_join(docs: DataFrame, plan: ChosenPaths = ChosenPaths(), doc_id: str
     met = _buckets(reps, plan).join(wide, "rep").select("task", "rep", "n", "weight", "block", "across", "first", "path", "sketch")
     near = met.repartition("task").sortWithinPartitions("task").mapInArrow(_candidates(plan), "task long, rep long, n long, weight long, block long, across boolean, first array<int>, path array<long>")
     near = C.materialize(near, "near")
-    texts = docs.join(near.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = _only(docs, near.select(F.col("rep").alias("doc_id")).distinct())
     tokens = texts.mapInArrow(_shingles(plan), "rep long, tokens binary")
     links = near.join(tokens, "rep").repartition("task").sortWithinPartitions("task").mapInArrow(_verified(plan), "rep long, root long, texts long, docs long")
     links = C.materialize(links, "links")
