@@ -35,8 +35,8 @@ class WindowLm:
     side: int = 2
     every: int = 16
     rounds: int = 2
-    rate: float = 0.3
-    batch: int = 512
+    rate: float = 0.6
+    batch: int = 2048
 
     @property
     def size(self) -> int:
@@ -123,25 +123,41 @@ class Places:
         self.cfg, self.hashes = cfg, C.WordHashes()
         self.own = {w: k for k, w in enumerate(words)}
 
-    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All tokens' places, their contexts, and each text's number of tokens."""
-        cfg, get, parts, sizes = self.cfg, self.own.get, [], []
-        pad = np.full(cfg.side, cfg.size, np.int64)
-        for text in texts:
-            words = C.folded_words(text)
-            ids = np.array([get(w, -1) for w in words], np.int64)
-            rare = np.flatnonzero(ids < 0)
-            if len(rare):
-                h = self.hashes.of([words[k] for k in rare.tolist()])
-                ids[rare] = cfg.own_words + (h % np.uint64(cfg.shared)).astype(np.int64)
-            sizes.append(len(ids))
-            parts += [pad, ids]
-        line = np.concatenate([*parts, pad])
-        sizes = np.array(sizes, np.int64)
-        starts = np.cumsum(np.concatenate([[0], sizes[:-1] + cfg.side])) + cfg.side
-        at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-        context = np.stack([line[at + k] for k in range(-cfg.side, cfg.side + 1) if k], 1) if len(at) else np.zeros((0, 2 * cfg.side), np.int64)
-        return line[at], context, sizes
+    def of(self, text: str | None) -> np.ndarray:
+        get, cfg = self.own.get, self.cfg
+        words = C.folded_words(text)
+        ids = np.array([get(w, -1) for w in words], np.int64)
+        rare = np.flatnonzero(ids < 0)
+        if len(rare):
+            h = self.hashes.of([words[k] for k in rare.tolist()])
+            ids[rare] = cfg.own_words + (h % np.uint64(cfg.shared)).astype(np.int64)
+        return ids.astype(np.uint16)
+
+
+def windows(cfg: WindowLm, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' places, their contexts, and each text's number of tokens."""
+    parts, sizes, pad = [], [], np.full(cfg.side, cfg.size, np.int64)
+    for blob in blobs:
+        ids = np.frombuffer(blob, np.uint16).astype(np.int64)
+        sizes.append(len(ids))
+        parts += [pad, ids]
+    line, sizes = np.concatenate([*parts, pad]), np.array(sizes, np.int64)
+    starts = np.cumsum(np.concatenate([[0], sizes[:-1] + cfg.side])) + cfg.side
+    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+    context = np.stack([line[at + k] for k in range(-cfg.side, cfg.side + 1) if k], 1) if len(at) else np.zeros((0, 2 * cfg.side), np.int64)
+    return line[at], context, sizes
+
+
+def _encode(cfg: WindowLm, words):
+    """(doc_id, text) -> (doc_id, places): each text is cut into words once."""
+
+    def run(batches):
+        places = Places(cfg, words.value)
+        for batch in C.pieces(batches, 200):
+            blobs = [places.of(t).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "places"])
+
+    return run
 
 
 def _tally(most: int = 300_000):
@@ -165,15 +181,15 @@ def _tally(most: int = 300_000):
 SUMS = "slot int, part int, weight double, vec binary"
 
 
-def _train(cfg: WindowLm, words, flat, round_: int, slot: int = 8192):
+def _train(cfg: WindowLm, flat, round_: int, slot: int = 8192):
     """Each task's parameters after its own rows, times its number of windows, in slots."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        net, places, total = Net(cfg, flat.value), Places(cfg, words.value), 0
-        for batch in C.pieces(batches, 200):
-            ids, context, _ = places.of(batch.column(0).to_pylist())
+        net, total = Net(cfg, flat.value), 0
+        for batch in C.pieces(batches, 500):
+            ids, context, _ = windows(cfg, batch.column(0).to_pylist())
             # One in `every` windows, by position and round, whatever the text's length.
             pick = np.flatnonzero(C.mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(total * 2 + round_ + 1)) % np.uint64(cfg.every) == 0)
             pick = np.random.default_rng(total + round_).permutation(pick)
@@ -205,12 +221,12 @@ def _average(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(v, np.float32) / w for v, w in zip(rows.column("vec").to_pylist(), rows.column("weight").to_pylist())])
 
 
-def _score(cfg: WindowLm, words, flat):
+def _score(cfg: WindowLm, flat):
     def run(batches):
-        net, places = Net(cfg, flat.value), Places(cfg, words.value)
-        for batch in C.pieces(batches, 50):
-            ids, context, sizes = places.of(batch.column(1).to_pylist())
-            logs = np.concatenate([net.log_probs(ids[lo : lo + 4096], context[lo : lo + 4096]) for lo in range(0, len(ids), 4096)] or [np.zeros(0)])
+        net = Net(cfg, flat.value)
+        for batch in C.pieces(batches, 100):
+            ids, context, sizes = windows(cfg, batch.column(1).to_pylist())
+            logs = np.concatenate([net.log_probs(ids[lo : lo + 16384], context[lo : lo + 16384]) for lo in range(0, len(ids), 16384)] or [np.zeros(0)])
             ends = np.concatenate([[0], np.cumsum(logs.astype(np.float64))])
             cuts = np.concatenate([[0], np.cumsum(sizes)])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(ends[cuts[1:]] - ends[cuts[:-1]])], ["doc_id", "n_tokens", "sum_log_prob"])
@@ -218,22 +234,18 @@ def _score(cfg: WindowLm, words, flat):
     return run
 
 
-def train(docs: DataFrame, cfg: WindowLm = WindowLm()) -> tuple[list[str], np.ndarray]:
-    """The frequent words and the parameters; `docs` has doc_id, text."""
-    sc = docs.sparkSession.sparkContext
+def vocabulary(docs: DataFrame, cfg: WindowLm) -> list[str]:
+    """The most frequent words of the corpus, bounded in number and length."""
     counts = docs.select("text").mapInArrow(_tally(), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    words = [r.word for r in counts.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(cfg.own_words).collect()]
-    sent, flat = sc.broadcast(words), Net(cfg).flat
-    for k in range(cfg.rounds):
-        parts = docs.select("text").mapInArrow(_train(cfg, sent, sc.broadcast(flat), k), SUMS)
-        flat = _average(parts) if words else flat
-    return words, flat
+    return [r.word for r in counts.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(cfg.own_words).collect()]
 
 
 def pseudo_likelihood(docs: DataFrame, cfg: WindowLm = WindowLm(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, sum_log_prob, mean_log_prob."""
-    docs = C.intake(docs, doc_id=doc_id, text=text)
-    words, flat = train(docs, cfg)
-    sc = docs.sparkSession.sparkContext
-    scored = docs.mapInArrow(_score(cfg, sc.broadcast(words), sc.broadcast(flat)), "doc_id long, n_tokens long, sum_log_prob double")
+    docs, sc = C.intake(docs, doc_id=doc_id, text=text), docs.sparkSession.sparkContext
+    words, flat = sc.broadcast(vocabulary(docs, cfg)), Net(cfg).flat
+    coded = C.materialize(docs.mapInArrow(_encode(cfg, words), "doc_id long, places binary"), "places")
+    for k in range(cfg.rounds if words.value else 0):
+        flat = _average(coded.select("places").mapInArrow(_train(cfg, sc.broadcast(flat), k), SUMS))
+    scored = coded.mapInArrow(_score(cfg, sc.broadcast(flat)), "doc_id long, n_tokens long, sum_log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("sum_log_prob") / F.col("n_tokens")))
