@@ -13,7 +13,7 @@ NAMES = ["ts_first_last_nulls", "ts_gapfill", "ts_diff", "cross_model_inside_out
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
-    show = lambda v: None if v is None or v is pd.NaT or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+    show = lambda v: None if pd.isna(v) else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
     return sorted((tuple(map(show, r)) for r in df[sorted(df.columns)].astype(object).itertuples(index=False)), key=str)
 
 
