@@ -35,10 +35,11 @@ class Subwords:
 
 
 class Units:
-    """Unit numbers of words and texts; what a word consists of is kept while there is room."""
+    """Unit numbers of words and texts; what a word consists of is kept while there is room. With `weights` (a number for
+    each unit) texts have the mean of their units' weights instead. New words are taken apart together, in numpy."""
 
-    def __init__(self, cfg: Subwords, vectors: np.ndarray | None = None, most: int = 150_000):
-        self.cfg, self.mask, self.most, self.vectors = cfg, (1 << cfg.bits) - 1, most, vectors
+    def __init__(self, cfg: Subwords, weights: np.ndarray | None = None, most: int = 250_000):
+        self.cfg, self.mask, self.most, self.weights = cfg, np.uint64((1 << cfg.bits) - 1), most, weights
         self.forget()
 
     def forget(self):
@@ -46,36 +47,47 @@ class Units:
         self.own: list[np.ndarray] = []
         self.hash = np.zeros(1024, np.uint64)
         self.size = np.zeros(1024, np.int64)
-        self.sums = np.zeros((1024, self.cfg.dim), np.float32)
-
-    def word(self, w: str) -> np.ndarray:
-        b, mask = ("<" + w[:64] + ">").encode("utf-8", "surrogatepass"), self.mask
-        crc = zlib.crc32
-        found = [crc(b[i : i + g]) & mask for g in self.cfg.grams for i in range(len(b) - g + 1)]
-        found.append(crc(b, 7) & mask)
-        return np.array(found, np.int64)
+        self.sums = np.zeros(1024)
+
+    def grams(self, raw: list[bytes], ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """At each byte of the joined words: the unit of the run of `width` bytes from there, and whether its word holds it."""
+        line = np.frombuffer(b"".join(raw) + bytes(width), np.uint8).astype(np.uint64)
+        n = len(line) - width
+        code = np.full(n, width, np.uint64)
+        for k in range(width):
+            code = (code << np.uint64(8)) | line[k : n + k]
+        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
+        return (C.mix(code) & self.mask).astype(np.int64), left >= width
+
+    def add(self, words: list[str]) -> None:
+        k, crc = len(self.place), zlib.crc32
+        self.place.update(zip(words, range(k, k + len(words))))
+        while len(self.place) > len(self.hash):
+            self.hash, self.size, self.sums = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.size, self.sums))
+        raw = [f"<{w[:64]}>".encode("utf-8", "surrogatepass") for w in words]
+        ends = np.cumsum([len(b) for b in raw])
+        starts, here = np.concatenate([[0], ends[:-1]]), slice(k, k + len(words))
+        self.hash[here] = np.fromiter((crc(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) + np.uint64(1 << 32)
+        whole = (C.mix(self.hash[here] + np.uint64(7)) & self.mask).astype(np.int64)
+        found = [self.grams(raw, ends, g) for g in self.cfg.grams]
+        self.size[here] = 1 + sum(np.add.reduceat(held, starts, dtype=np.int64) for _, held in found)
+        if self.weights is None:
+            self.own += [np.concatenate([whole[j : j + 1], *(units[a:b][held[a:b]] for units, held in found)]) for j, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
+        else:
+            self.sums[here] = self.weights[whole] + sum(np.add.reduceat(self.weights[units] * held, starts) for units, held in found)
 
     def at(self, words: list[str]) -> np.ndarray:
         """The place of each word."""
         if len(self.place) > self.most:
             self.forget()
-        get = self.place.get
-        new = {w for w in words if get(w) is None}
-        for w in new:
-            k = len(self.own)
-            if k == len(self.hash):
-                self.hash, self.size, self.sums = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.size, self.sums))
-            units = self.word(w)
-            self.place[w], self.hash[k], self.size[k] = k, zlib.crc32(w.encode("utf-8", "surrogatepass")) + (1 << 32), len(units)
-            self.own.append(units)
-            if self.vectors is not None:
-                self.sums[k] = self.vectors[units].sum(0)
+        if new := set(words).difference(self.place):
+            self.add(sorted(new))
         return np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
 
     def pairs(self, at: np.ndarray) -> np.ndarray:
         """Units of neighbours; equal neighbours share one."""
         h = self.hash[at]
-        pair = C.mix(h[:-1] * np.uint64(3) + h[1:]) & np.uint64(self.mask)
+        pair = C.mix(h[:-1] * np.uint64(3) + h[1:]) & self.mask
         return np.where(at[1:] == at[:-1], 1, pair.astype(np.int64))
 
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -87,14 +99,14 @@ class Units:
         units, n = np.unique(np.concatenate([*(self.own[k] for k in at.tolist()), self.pairs(at)]), return_counts=True)
         return units, (n / n.sum()).astype(np.float32)
 
-    def mean(self, text: str | None) -> np.ndarray:
+    def mean(self, text: str | None) -> float:
         words = (text or "").split()
-        total, n = np.zeros(self.cfg.dim), 0
+        total, n = 0.0, 0
         for lo in range(0, len(words), 20_000):
             at = self.at(words[max(0, lo - 1) : lo + 20_000])
             pairs = self.pairs(at)
             own = at[1:] if lo else at
-            total += self.sums[own].sum(0, dtype=np.float64) + self.vectors[pairs].sum(0, dtype=np.float64)
+            total += float(self.sums[own].sum()) + float(self.weights[pairs].sum())
             n += int(self.size[own].sum()) + len(pairs)
         return total / max(1, n)
 
@@ -145,14 +157,16 @@ def _fit(classes: int, cfg: Subwords):
 
 
 def _score(model, cfg: Subwords):
+    """The softmax of two classes depends on the difference of their outputs alone, and that difference of a document's
+    mean vector is the mean of the differences of its units: each unit needs one number."""
+
     def run(batches):
         vectors, layer, bias = model.value
-        units = Units(cfg, vectors)
+        units = Units(cfg, vectors.astype(np.float64) @ (layer[:, 1] - layer[:, 0]).astype(np.float64))
+        offset = float(bias[1]) - float(bias[0])
         for batch in C.pieces(batches, 200):
-            v = np.array([units.mean(t) for t in batch.column(1).to_pylist()]).reshape(batch.num_rows, cfg.dim)
-            s = v @ layer + bias
-            p = np.exp(s - s.max(1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array((p[:, 1] / p.sum(1)).astype(np.float64))], ["doc_id", "score"])
+            z = np.array([units.mean(t) for t in batch.column(1).to_pylist()], np.float64) + offset
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
 
     return run
 
