@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,22 +41,33 @@ class Ftrl:
     most_rows: int = 8_000
 
 
+class StemHashes(C.WordHashes):
+    """token -> hash of its first four letters."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        value = self[token] = xxhash.xxh64_intdigest(token[:4].encode("utf-8", "surrogatepass"))
+        return value
+
+
 class Features:
-    """Distinct hashed features of a text."""
+    """Distinct hashed features of a text; with `used` (a mark for each place) those of marked places alone."""
 
-    def __init__(self, bits: int):
-        self.mask, self.words, self.stems = np.uint64((1 << bits) - 1), C.WordHashes(), C.WordHashes()
+    def __init__(self, bits: int, used: np.ndarray | None = None):
+        self.mask, self.used, self.words, self.stems = np.uint64((1 << bits) - 1), used, C.WordHashes(), StemHashes()
 
     def of(self, text: str | None) -> tuple[np.ndarray, int]:
         tokens = TOKEN.findall(text.lower()) if text else []
         if not tokens:
             return np.zeros(0, np.uint32), 0
         h = self.words.of(tokens)
-        parts = [C.mix(h), C.mix(self.stems.of([t[:4] for t in tokens]) + np.uint64(11))]
+        parts = [C.mix(h), C.mix(self.stems.of(tokens) + np.uint64(11))]
         for gap, salt in ((1, 3), (2, 5)):
             if len(h) > gap:
                 parts.append(C.mix(h[:-gap] * np.uint64(salt) + h[gap:]))
-        return np.unique((np.concatenate(parts) & self.mask).astype(np.uint32)), len(tokens)
+        places = (np.concatenate(parts) & self.mask).astype(np.uint32)
+        return np.unique(places if self.used is None else places[self.used[places]]), len(tokens)
 
 
 def _extract(bits: int):
@@ -145,13 +157,12 @@ def _score(model, bits: int):
 
     def run(batches):
         w, bias = model.value
-        used = (w != 0).any(0)
-        features = Features(bits)
+        features = Features(bits, (w != 0).any(0))
         for batch in C.pieces(batches, 200):
             out, sizes = np.tile(bias, (batch.num_rows, 1)), []
             for k, text in enumerate(batch.column(1).to_pylist()):
                 f, n = features.of(text)
-                out[k] += w[:, f[used[f]]].sum(1)
+                out[k] += w[:, f].sum(1)
                 sizes.append(n)
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), C.flat_float64(p)], ["doc_id", "n_tokens", "p"])
