@@ -41,40 +41,80 @@ class Ftrl:
     most_rows: int = 8_000
 
 
-class StemHashes(C.WordHashes):
-    """token -> hash of its first four letters."""
+class Tokens(dict):
+    """token -> row of `table` (its hash, and the places of the word and of its four-letter stem)."""
+
+    def __init__(self, mask: np.uint64, most: int = 400_000):
+        super().__init__()
+        self.mask, self.most, self.new, self.table = mask, most, [], np.zeros((3, 0), np.uint64)
 
     def __missing__(self, token: str) -> int:
+        row = self[token] = len(self)
+        self.new.append((xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass")), xxhash.xxh64_intdigest(token[:4].encode("utf-8", "surrogatepass"))))
+        return row
+
+    def of(self, tokens: list[str]) -> np.ndarray:
         if len(self) >= self.most:
             self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token[:4].encode("utf-8", "surrogatepass"))
-        return value
+            self.table = self.table[:, :0]
+        rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.new:
+            h, stem = np.array(self.new, np.uint64).T
+            self.table = np.concatenate([self.table, [h, C.mix(h) & self.mask, C.mix(stem + np.uint64(11)) & self.mask]], axis=1)
+            self.new = []
+        return self.table.take(rows, axis=1)
 
 
 class Features:
-    """Distinct hashed features of a text; with `used` (a mark for each place) those of marked places alone."""
+    """Distinct hashed features of texts; with `used` (a mark for each place) those of marked places alone."""
 
     def __init__(self, bits: int, used: np.ndarray | None = None):
-        self.mask, self.used, self.words, self.stems = np.uint64((1 << bits) - 1), used, C.WordHashes(), StemHashes()
-
-    def of(self, text: str | None) -> tuple[np.ndarray, int]:
-        tokens = TOKEN.findall(text.lower()) if text else []
-        if not tokens:
-            return np.zeros(0, np.uint32), 0
-        h = self.words.of(tokens)
-        parts = [C.mix(h), C.mix(self.stems.of(tokens) + np.uint64(11))]
+        self.bits, self.mask, self.used = bits, np.uint64((1 << bits) - 1), used
+        self.tokens = Tokens(self.mask)
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of some texts together: the text of each feature, its place (both in ascending order), and each text's tokens."""
+        found = [TOKEN.findall(t.lower()) if t else [] for t in texts]
+        sizes = np.array([len(x) for x in found], np.int64)
+        h, word, stem = self.tokens.of([x for one in found for x in one])
+        owner = np.repeat(np.arange(len(texts)), sizes)
+        parts = [self._keys(word, owner), self._keys(stem, owner)]
         for gap, salt in ((1, 3), (2, 5)):
-            if len(h) > gap:
-                parts.append(C.mix(h[:-gap] * np.uint64(salt) + h[gap:]))
-        places = (np.concatenate(parts) & self.mask).astype(np.uint32)
-        return np.unique(places if self.used is None else places[self.used[places]]), len(tokens)
+            parts.append(self._keys(C.mix(h[:-gap] * np.uint64(salt) + h[gap:]) & self.mask, owner[:-gap], owner[:-gap] == owner[gap:]))
+        keys = np.unique(np.concatenate(parts))
+        return keys >> self.bits, keys & int(self.mask), sizes
+
+    def _keys(self, places: np.ndarray, owner: np.ndarray, among: np.ndarray | None = None) -> np.ndarray:
+        places = places.astype(np.int64)
+        if self.used is not None:
+            among = self.used.take(places) if among is None else among & self.used.take(places)
+        if among is not None:
+            places, owner = places[among], owner[among]
+        return owner << self.bits | places
+
+
+def together(texts: list[str | None], most: int = 400_000):
+    """(start, texts) of neighbours with about `most` characters together; a longer text is alone."""
+    start, held = 0, 0
+    for k, text in enumerate(texts):
+        n = len(text or "")
+        if k > start and held + n > most:
+            yield start, texts[start:k]
+            start, held = k, 0
+        held += n
+    if len(texts) > start:
+        yield start, texts[start:]
 
 
 def _extract(bits: int):
     def run(batches):
         features = Features(bits)
-        for batch in C.pieces(batches, 100):
-            blobs = [features.of(t)[0].tobytes() for t in batch.column(2).to_pylist()]
+        for batch in C.pieces(batches, 200):
+            blobs = []
+            for _, texts in together(batch.column(2).to_pylist()):
+                owner, places, _ = features.of(texts)
+                cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+                blobs += [places[a:b].astype(np.uint32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["h", "y", "features"])
 
     return run
@@ -158,12 +198,13 @@ def _score(model, bits: int):
     def run(batches):
         w, bias = model.value
         features = Features(bits, (w != 0).any(0))
-        for batch in C.pieces(batches, 200):
-            out, sizes = np.tile(bias, (batch.num_rows, 1)), []
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                f, n = features.of(text)
-                out[k] += w[:, f].sum(1)
-                sizes.append(n)
+        for batch in C.pieces(batches, 500):
+            out, sizes = np.tile(bias, (batch.num_rows, 1)), np.zeros(batch.num_rows, np.int64)
+            for start, texts in together(batch.column(1).to_pylist()):
+                owner, places, n = features.of(texts)
+                sizes[start : start + len(texts)] = n
+                for c in range(len(w)):
+                    out[start : start + len(texts), c] += np.bincount(owner, w[c, places], len(texts))
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), C.flat_float64(p)], ["doc_id", "n_tokens", "p"])
 
