@@ -2,7 +2,7 @@
 
 A small bidirectional window network predicts every token from the two tokens before it and the two after it; a
 document's score is the sum of the logarithms of those conditional probabilities. The vocabulary is counted over the
-whole corpus: frequent words have places of their own, the others share hashed places. The softmax has two levels
+whole corpus, of words told apart by 32-bit hashes: frequent words have places of their own, the others share hashed places. The softmax has two levels
 (a class, then a place within it), so a prediction costs 128 products rather than 4096.
 
 Training takes windows at a fixed rate from every document (`every`: one in so many, so it grows with the corpus). Each
@@ -15,7 +15,6 @@ sum of 0 and a null mean; rows that repeat an id are scored each; an empty table
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,8 +64,12 @@ class Net:
             at += n
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = self.bias + sum(self.embed[context[:, k]] * self.place[k] for k in range(context.shape[1]))
-        return np.tanh(h)
+        h = np.tile(self.bias, (len(context), 1))
+        for k in range(context.shape[1]):
+            e = self.embed.take(context[:, k], axis=0)
+            e *= self.place[k]
+            h += e
+        return np.tanh(h, out=h)
 
     def by_class(self, ids: np.ndarray):
         """Rows in the order of their classes, and (class, start, end) of each."""
@@ -117,21 +120,20 @@ class Net:
 
 
 class Places:
-    """Texts to vocabulary places."""
+    """Hashes of words to vocabulary places."""
 
-    def __init__(self, cfg: WindowLm, words: list[str]):
-        self.cfg, self.hashes = cfg, C.WordHashes()
-        self.own = {w: k for k, w in enumerate(words)}
+    def __init__(self, cfg: WindowLm, words: np.ndarray):
+        self.cfg, self.order = cfg, np.argsort(words).astype(np.uint16)
+        self.sorted = words[self.order]
 
-    def of(self, text: str | None) -> np.ndarray:
-        get, cfg = self.own.get, self.cfg
-        words = C.folded_words(text)
-        ids = np.array([get(w, -1) for w in words], np.int64)
-        rare = np.flatnonzero(ids < 0)
-        if len(rare):
-            h = self.hashes.of([words[k] for k in rare.tolist()])
-            ids[rare] = cfg.own_words + (h % np.uint64(cfg.shared)).astype(np.int64)
-        return ids.astype(np.uint16)
+    def of(self, blob: bytes) -> bytes:
+        h = np.frombuffer(blob, np.uint32)
+        places = (self.cfg.own_words + C.mix(h.astype(np.uint64)) % np.uint64(self.cfg.shared)).astype(np.uint16)
+        if len(self.sorted):
+            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            own = self.sorted.take(at) == h
+            places[own] = self.order[at[own]]
+        return places.tobytes()
 
 
 def windows(cfg: WindowLm, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -144,35 +146,31 @@ def windows(cfg: WindowLm, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray,
     line, sizes = np.concatenate([*parts, pad]), np.array(sizes, np.int64)
     starts = np.cumsum(np.concatenate([[0], sizes[:-1] + cfg.side])) + cfg.side
     at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    context = np.stack([line[at + k] for k in range(-cfg.side, cfg.side + 1) if k], 1) if len(at) else np.zeros((0, 2 * cfg.side), np.int64)
+    context = np.stack([line.take(at + k) for k in range(-cfg.side, cfg.side + 1) if k]).T if len(at) else np.zeros((0, 2 * cfg.side), np.int64)
     return line[at], context, sizes
 
 
-def _encode(cfg: WindowLm, words):
-    """(doc_id, text) -> (doc_id, places): each text is cut into words once."""
-
-    def run(batches):
-        places = Places(cfg, words.value)
-        for batch in C.pieces(batches, 200):
-            blobs = [places.of(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "places"])
-
-    return run
+def _encode(batches):
+    """(doc_id, text) -> (doc_id, words): each text is cut into words once, which are 32-bit hashes from here on."""
+    hashes = C.WordHashes()
+    for batch in C.pieces(batches, 200):
+        blobs = [hashes.of(C.folded_words(t)).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "words"])
 
 
-def _tally(most: int = 300_000):
+def _tally(most: int = 4_000_000):
     def run(batches):
-        seen: Counter = Counter()
+        held: list[np.ndarray] = []
 
         def out():
-            return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
+            words, n = np.unique(np.concatenate([np.zeros(0, np.uint32), *held]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(words.astype(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
         for batch in C.pieces(batches, 200):
-            for text in batch.column(0).to_pylist():
-                seen.update(C.folded_words(text))
-            if len(seen) >= most:
+            held += [np.frombuffer(blob, np.uint32) for blob in batch.column(0).to_pylist()]
+            if sum(map(len, held)) >= most:
                 yield out()
-                seen.clear()
+                held.clear()
         yield out()
 
     return run
@@ -181,15 +179,15 @@ def _tally(most: int = 300_000):
 SUMS = "slot int, part int, weight double, vec binary"
 
 
-def _train(cfg: WindowLm, flat, round_: int, slot: int = 8192):
+def _train(cfg: WindowLm, words, flat, round_: int, slot: int = 8192):
     """Each task's parameters after its own rows, times its number of windows, in slots."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        net, total = Net(cfg, flat.value), 0
+        net, places, total = Net(cfg, flat.value), Places(cfg, words.value), 0
         for batch in C.pieces(batches, 500):
-            ids, context, _ = windows(cfg, batch.column(0).to_pylist())
+            ids, context, _ = windows(cfg, list(map(places.of, batch.column(0).to_pylist())))
             # One in `every` windows, by position and round, whatever the text's length.
             pick = np.flatnonzero(C.mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(total * 2 + round_ + 1)) % np.uint64(cfg.every) == 0)
             pick = np.random.default_rng(total + round_).permutation(pick)
@@ -221,11 +219,11 @@ def _average(parts: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(v, np.float32) / w for v, w in zip(rows.column("vec").to_pylist(), rows.column("weight").to_pylist())])
 
 
-def _score(cfg: WindowLm, flat):
+def _score(cfg: WindowLm, words, flat):
     def run(batches):
-        net = Net(cfg, flat.value)
+        net, places = Net(cfg, flat.value), Places(cfg, words.value)
         for batch in C.pieces(batches, 100):
-            ids, context, sizes = windows(cfg, batch.column(1).to_pylist())
+            ids, context, sizes = windows(cfg, list(map(places.of, batch.column(1).to_pylist())))
             logs = np.concatenate([net.log_probs(ids[lo : lo + 16384], context[lo : lo + 16384]) for lo in range(0, len(ids), 16384)] or [np.zeros(0)])
             ends = np.concatenate([[0], np.cumsum(logs.astype(np.float64))])
             cuts = np.concatenate([[0], np.cumsum(sizes)])
@@ -234,18 +232,18 @@ def _score(cfg: WindowLm, flat):
     return run
 
 
-def vocabulary(docs: DataFrame, cfg: WindowLm) -> list[str]:
-    """The most frequent words of the corpus, bounded in number and length."""
-    counts = docs.select("text").mapInArrow(_tally(), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r.word for r in counts.filter(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(cfg.own_words).collect()]
+def vocabulary(coded: DataFrame, cfg: WindowLm) -> np.ndarray:
+    """Hashes of the most frequent words of the corpus, bounded in number."""
+    counts = coded.select("words").mapInArrow(_tally(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(cfg.own_words).collect()], np.uint32)
 
 
 def pseudo_likelihood(docs: DataFrame, cfg: WindowLm = WindowLm(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, sum_log_prob, mean_log_prob."""
     docs, sc = C.intake(docs, doc_id=doc_id, text=text), docs.sparkSession.sparkContext
-    words, flat = sc.broadcast(vocabulary(docs, cfg)), Net(cfg).flat
-    coded = C.materialize(docs.mapInArrow(_encode(cfg, words), "doc_id long, places binary"), "places")
-    for k in range(cfg.rounds if words.value else 0):
-        flat = _average(coded.select("places").mapInArrow(_train(cfg, sc.broadcast(flat), k), SUMS))
-    scored = coded.mapInArrow(_score(cfg, sc.broadcast(flat)), "doc_id long, n_tokens long, sum_log_prob double")
+    coded = C.materialize(docs.mapInArrow(_encode, "doc_id long, words binary"), "words")
+    words, flat = sc.broadcast(vocabulary(coded, cfg)), Net(cfg).flat
+    for k in range(cfg.rounds if len(words.value) else 0):
+        flat = _average(coded.select("words").mapInArrow(_train(cfg, words, sc.broadcast(flat), k), SUMS))
+    scored = coded.mapInArrow(_score(cfg, words, sc.broadcast(flat)), "doc_id long, n_tokens long, sum_log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("sum_log_prob") / F.col("n_tokens")))
