@@ -92,3 +92,26 @@ def test_batches_don_t_change_scores():
 def test_units_of_long_words_and_surrogates():
     units = subword_quality.Units(subword_quality.Subwords())
     assert len(units.of("x" * 5000)[0]) > 0 and C.WordHashes(2).of(["a", "b", "c", "a"])[0] == C.WordHashes().of(["a"])[0]
+
+
+def test_features_of_texts_together_are_those_of_each_alone():
+    texts = [None, "", "a", "You IDIOT, you", "b c", "x! " * 500, *[t for _, t, _ in DATA[:20]]]
+    used = np.arange(1 << 12) % 3 == 0
+    for mark in (None, used):
+        owner, places, sizes = toxicity.Features(12, mark).of(texts)
+        for k, t in enumerate(texts):
+            alone = toxicity.Features(12, mark).of([t])
+            assert places[owner == k].tolist() == alone[1].tolist() and sizes[k] == alone[2][0]
+    everything = toxicity.Features(12).of(texts)
+    marked = used[everything[1]]
+    assert everything[0][marked].tolist() == owner.tolist() and everything[1][marked].tolist() == places.tolist()
+    groups = list(toxicity.together(texts, 50))
+    assert [t for _, g in groups for t in g] == texts and [a for a, _ in groups] == np.cumsum([0, *[len(g) for _, g in groups[:-1]]]).tolist()
+
+
+def test_places_of_hashed_words():
+    cfg = masked_lm.WindowLm()
+    own = np.array([70, 5, 4_000_000_000], np.uint32)
+    got = np.frombuffer(masked_lm.Places(cfg, own).of(np.array([5, 70, 4_000_000_000, 6], np.uint32).tobytes()), np.uint16)
+    assert got[:3].tolist() == [1, 0, 2] and cfg.own_words <= got[3] < cfg.size
+    assert masked_lm.Places(cfg, own[:0]).of(b"") == b""
