@@ -94,6 +94,31 @@ def test_units_of_long_words_and_surrogates():
     assert len(units.of("x" * 5000)[0]) > 0 and C.WordHashes(2).of(["a", "b", "c", "a"])[0] == C.WordHashes().of(["a"])[0]
 
 
+def test_units_are_those_of_whole_words():
+    cfg, head, junk = subword_quality.Subwords(), "x" * 64, "".join(rng.choice("abcdefghij日") for _ in range(3000))
+    number = lambda x: int(C.mix(np.array([x], np.uint64))[0]) & ((1 << cfg.bits) - 1)
+    weights = np.random.default_rng(0).normal(size=1 << cfg.bits)
+    one, many = subword_quality.Units(cfg), subword_quality.Units(cfg, block=100)
+    scored = [subword_quality.Units(cfg, weights), subword_quality.Units(cfg, weights, block=100)]
+    for text in ("ab", head + "tail", head + "liat", f"a {junk} b {junk} {junk}", f"{head} {head}y a", head + "tail"):
+        words, n = text.split(), np.zeros(1 << cfg.bits)
+        for w in words:
+            n[number(zlib.crc32(w.encode()) + (1 << 32) + 7)] += 1
+            raw = f"<{w}>".encode()
+            for g in cfg.grams:
+                for j in range(len(raw) - g + 1):
+                    n[number(int.from_bytes(bytes([g]) + raw[j : j + g], "big"))] += 1
+        for a, b in zip(words[:-1], words[1:]):
+            h = [zlib.crc32(x.encode()) + (1 << 32) for x in (a, b)]
+            n[1 if a == b else number(h[0] * 3 + h[1])] += 1
+        for units in (one, many):
+            places, shares = units.of(text)
+            assert places.tolist() == np.flatnonzero(n).tolist() and np.allclose(shares, n[places] / n.sum(), atol=1e-6)
+            assert all(len(w) <= units.longest for w in set(units.place) - set(words))
+        for units in scored:
+            assert units.mean(text) == pytest.approx(float(n @ weights / n.sum()), abs=1e-9)
+
+
 def test_features_of_texts_together_are_those_of_each_alone():
     texts = [None, "", "a", "You IDIOT, you", "b c", "x! " * 500, *[t for _, t, _ in DATA[:20]]]
     used = np.arange(1 << 12) % 3 == 0

@@ -3,7 +3,7 @@
 Hashed words, their character n-grams and word pairs each have a learned vector; a document is the mean of the vectors
 of all its units, and a softmax layer gives its class. Vectors and layer are trained together by stochastic gradient
 descent in numpy, in one task, on at most `most_rows` labelled rows (those least by a hash of the id). Scoring covers
-all rows and whole texts; the vectors, of a fixed size, are sent to all executors.
+all rows and whole texts, every word by the n-grams of all its bytes; the vectors, of a fixed size, are sent to all executors.
 
 Words are separated by white space and keep their case and punctuation. A pair of equal words is one unit, whatever
 the word. Defined results: null and empty texts have the score of the layer's bias; labels that conflict count by
@@ -35,50 +35,75 @@ class Subwords:
 
 
 class Units:
-    """Unit numbers of words and texts; what a word consists of is kept while there is room. With `weights` (a number for
-    each unit) texts have the mean of their units' weights instead. New words are taken apart together, in numpy."""
+    """Unit numbers of words and texts; what a word of up to `longest` characters consists of is kept while there is room,
+    longer words are taken apart whole each time. With `weights` (a number for each unit) texts have the mean of their
+    units' weights instead. New words are taken apart together, in numpy, `block` bytes at a time."""
 
-    def __init__(self, cfg: Subwords, weights: np.ndarray | None = None, most: int = 250_000):
-        self.cfg, self.mask, self.most, self.weights = cfg, np.uint64((1 << cfg.bits) - 1), most, weights
+    def __init__(self, cfg: Subwords, weights: np.ndarray | None = None, most: int = 250_000, longest: int = 64, block: int = 1 << 20):
+        self.cfg, self.mask, self.most, self.weights, self.longest, self.block = cfg, np.uint64((1 << cfg.bits) - 1), most, weights, longest, block
         self.forget()
 
     def forget(self):
         self.place: dict[str, int] = {}
+        self.n = 0
+        self.long: list[str] = []
         self.own: list[np.ndarray] = []
+        self.counts: dict[int, np.ndarray] = {}
         self.hash = np.zeros(1024, np.uint64)
         self.size = np.zeros(1024, np.int64)
         self.sums = np.zeros(1024)
 
-    def grams(self, raw: list[bytes], ends: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """At each byte of the joined words: the unit of the run of `width` bytes from there, and whether its word holds it."""
-        line = np.frombuffer(b"".join(raw) + bytes(width), np.uint8).astype(np.uint64)
-        n = len(line) - width
-        code = np.full(n, width, np.uint64)
-        for k in range(width):
-            code = (code << np.uint64(8)) | line[k : n + k]
-        left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
-        return (C.mix(code) & self.mask).astype(np.int64), left >= width
+    def drop_long(self):
+        """Long words are known only until the next words are asked for."""
+        for w in self.long:
+            del self.place[w]
+        self.long, self.counts = [], {}
+
+    def grams(self, raw: list[bytes]):
+        """(units, words): of all runs of bytes within the words, the unit and its word's number, a block and a width at a time."""
+        line, ends = np.frombuffer(b"".join(raw) + bytes(max(self.cfg.grams)), np.uint8), np.cumsum([len(b) for b in raw])
+        for lo in range(0, int(ends[-1]), self.block):
+            hi = min(lo + self.block, int(ends[-1]))
+            word = np.repeat(np.arange(len(raw)), np.diff(np.clip(ends, lo, hi), prepend=lo))
+            left = ends[word] - np.arange(lo, hi)
+            for width in self.cfg.grams:
+                here, code = line[lo : hi + width].astype(np.uint64), np.full(hi - lo, width, np.uint64)
+                for k in range(width):
+                    code = (code << np.uint64(8)) | here[k : hi - lo + k]
+                held = left >= width
+                yield (C.mix(code[held]) & self.mask).astype(np.int64), word[held]
 
     def add(self, words: list[str]) -> None:
-        k, crc = len(self.place), zlib.crc32
-        self.place.update(zip(words, range(k, k + len(words))))
-        while len(self.place) > len(self.hash):
+        k, crc = self.n, zlib.crc32
+        self.n += len(words)
+        self.place.update(zip(words, range(k, self.n)))
+        self.long = [w for w in words if len(w) > self.longest]
+        while self.n > len(self.hash):
             self.hash, self.size, self.sums = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.size, self.sums))
-        raw = [f"<{w[:64]}>".encode("utf-8", "surrogatepass") for w in words]
-        ends = np.cumsum([len(b) for b in raw])
-        starts, here = np.concatenate([[0], ends[:-1]]), slice(k, k + len(words))
+        raw = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+        sizes, here = np.array([len(b) for b in raw]), slice(k, self.n)
         self.hash[here] = np.fromiter((crc(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) + np.uint64(1 << 32)
         whole = (C.mix(self.hash[here] + np.uint64(7)) & self.mask).astype(np.int64)
-        found = [self.grams(raw, ends, g) for g in self.cfg.grams]
-        self.size[here] = 1 + sum(np.add.reduceat(held, starts, dtype=np.int64) for _, held in found)
-        if self.weights is None:
-            self.own += [np.concatenate([whole[j : j + 1], *(units[a:b][held[a:b]] for units, held in found)]) for j, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
-        else:
-            self.sums[here] = self.weights[whole] + sum(np.add.reduceat(self.weights[units] * held, starts) for units, held in found)
+        self.size[here] = 1 + sum(np.maximum(sizes - g + 1, 0) for g in self.cfg.grams)
+        if self.weights is not None:
+            self.sums[here] = self.weights[whole] + sum(np.bincount(word, self.weights[units], len(words)) for units, word in self.grams(raw))
+            return
+        parts = [[whole[j : j + 1]] for j in range(len(words))]
+        for units, word in self.grams(raw):
+            if not len(word):
+                continue
+            first, last = int(word[0]), int(word[-1])
+            for j, part in zip(range(first, last + 1), np.split(units, np.searchsorted(word, np.arange(first + 1, last + 1)))):
+                if len(words[j]) > self.longest:
+                    self.counts[k + j] = self.counts.get(k + j, 0) + np.bincount(part, minlength=1 << self.cfg.bits)
+                else:
+                    parts[j].append(part)
+        self.own += [np.concatenate(p) for p in parts]
 
     def at(self, words: list[str]) -> np.ndarray:
         """The place of each word."""
-        if len(self.place) > self.most:
+        self.drop_long()
+        if self.n > self.most:
             self.forget()
         if new := set(words).difference(self.place):
             self.add(sorted(new))
@@ -96,8 +121,12 @@ class Units:
         if not words:
             return np.zeros(0, np.int64), np.zeros(0, np.float32)
         at = self.at(words)
-        units, n = np.unique(np.concatenate([*(self.own[k] for k in at.tolist()), self.pairs(at)]), return_counts=True)
-        return units, (n / n.sum()).astype(np.float32)
+        n = np.bincount(np.concatenate([*(self.own[k] for k in at.tolist()), self.pairs(at)]), minlength=1 << self.cfg.bits)
+        for k in at.tolist() if self.counts else ():
+            if k in self.counts:
+                n = n + self.counts[k]
+        units = np.flatnonzero(n)
+        return units, (n[units] / n.sum()).astype(np.float32)
 
     def mean(self, text: str | None) -> float:
         words = (text or "").split()
