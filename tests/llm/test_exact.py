@@ -101,6 +101,21 @@ def test_rules_counts_and_risk(spark, docs):
         assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
 
 
+def test_rules_judge_doubled_neighbours(spark):
+    doubled = lambda t: " ".join(f"{w} {w}" for w in t.split())
+    bad = [(k, doubled(prose(20)), "de") for k in range(40)]
+    good = [(2000 + k, prose(40), "de") for k in range(1200)]
+    docs = spark.createDataFrame(bad + good, "doc_id long, text string, lang string")
+    share = {r.doc_id: r.same_neighbour_share for r in quality_rules.features(C.intake(docs, doc_id="doc_id", text="text", stratum="lang")).collect()}
+    for k, t, _ in bad + good:
+        w = t.split()
+        assert share[k] == sum(a == b for a, b in zip(w, w[1:])) / len(w)
+    labels = spark.createDataFrame([(k, int(k >= 2000)) for k, *_ in bad + good], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    assert all("same_neighbour_share" in got[k].broken and not got[k].kept and not got[k].base_failed for k, *_ in bad)
+    assert sum(got[k].kept for k, *_ in good) >= 0.99 * len(good)
+
+
 def test_interleaving(spark, docs):
     many = spark.createDataFrame([(k, "x" * (k % 7), None, "hot" if k % 3 == 0 else "s%d" % (k % 5), 0) for k in range(1003)], SCHEMA)
     rows = sharding.interleave(many, shards=8, rows_per_cell=10).collect()

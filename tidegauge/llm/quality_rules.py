@@ -42,6 +42,13 @@ class Risk:
             "chars_per_word": [9.0, 10.0, 12.0, 15.0, 20.0],
         }
     )
+    #: Not among `cutoffs`, as oracle() doesn't know this rule.
+    same_neighbour_share: tuple = (0.02, 0.05, 0.1, 0.2, 0.3)
+
+    @property
+    def rules(self) -> dict:
+        """Every rule's cutoffs."""
+        return {**self.cutoffs, "same_neighbour_share": self.same_neighbour_share}
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -55,6 +62,7 @@ def features(docs: DataFrame) -> DataFrame:
     wide = words.select(
         "doc_id", "stratum", F.size("words").cast("long").alias("n_words"), F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.replace("marks", F.lit("!"), F.lit(""))).cast("long").alias("n_symbols"), F.length("marks").alias("n_marks"), "lines", grams.alias("grams"),
+        F.expr("size(filter(h, (x, i) -> x = get(h, i - 1)))").alias("n_same"),
     )
     wide = wide.select("*", (F.col("n_marks") - F.col("n_symbols")).alias("n_shouts"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").alias("n_lines"))
     # Positions of windows found twice or more, from neighbours in hash order; each covers five words, but not past the next one's.
@@ -70,6 +78,7 @@ def features(docs: DataFrame) -> DataFrame:
         "doc_id", "stratum", *BASE,
         per("n_symbols", "n_words").alias("symbols_per_word"), per("n_shouts", "n_words").alias("shouts_per_word"), per("n_repeat_words", "n_words").alias("repeat_share"),
         per("n_dup_lines", "n_lines").alias("dup_line_share"), per("word_chars", "n_words").alias("chars_per_word"),
+        per("n_same", "n_words").alias("same_neighbour_share"),
     )
 
 
@@ -79,7 +88,7 @@ def base_failed() -> Column:
 
 def thresholds(marked: DataFrame, risk: Risk) -> DataFrame:
     """(stratum, rule, cutoff): of the admissible cutoffs the one that serves best; `marked` has stratum, ratios and good (boolean)."""
-    grid = [(rule, cut) for rule, cuts in risk.cutoffs.items() for cut in cuts]
+    grid = [(rule, cut) for rule, cuts in risk.rules.items() for cut in cuts]
     over = lambda rule, cut, good: F.count_if((F.col(rule) > cut) & (F.col("good") == good))
     counts = marked.groupBy("stratum").agg(
         F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("m"),
@@ -108,11 +117,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_i
     marked = known.filter(~base_failed()).join(marks, F.col("doc_id") == F.col("m_id")).withColumn("good", F.col("m") > 0)
     cuts = C.materialize(thresholds(marked, risk), "cutoffs")
     # One row for each stratum; a stratum without any cutoff has none. The number of strata is counted before it is broadcast.
-    table = cuts.groupBy("stratum").pivot("rule", list(risk.cutoffs)).agg(F.min("cutoff"))
-    table = table.select(F.col("stratum").alias("c_stratum"), *[F.col(rule).alias(f"c_{rule}") for rule in risk.cutoffs])
+    table = cuts.groupBy("stratum").pivot("rule", list(risk.rules)).agg(F.min("cutoff"))
+    table = table.select(F.col("stratum").alias("c_stratum"), *[F.col(rule).alias(f"c_{rule}") for rule in risk.rules])
     table = F.broadcast(table) if table.count() <= 10_000 else table
     judged = known.join(table, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
-    broken = F.filter(F.array(*[F.when(F.col(rule) > F.col(f"c_{rule}"), F.lit(rule)) for rule in risk.cutoffs]), lambda x: x.isNotNull())
+    broken = F.filter(F.array(*[F.when(F.col(rule) > F.col(f"c_{rule}"), F.lit(rule)) for rule in risk.rules]), lambda x: x.isNotNull())
     judged = judged.select("doc_id", *BASE, base_failed().alias("base_failed"), "stratum", broken.alias("broken"))
     return judged.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "stratum", "broken")
 
