@@ -80,6 +80,14 @@ def test_masked_lm_prefers_the_order_it_has_seen(spark):
     assert np.mean([got[k].mean_log_prob for k, _ in seen]) > np.mean([got[k].mean_log_prob for k, _ in shuffled]) + 0.3
 
 
+def test_training_takes_every_window(spark):
+    cfg, sc = masked_lm.WindowLm(), spark.sparkContext
+    coded = spark.createDataFrame([(k, "a b c"[: 2 * (k % 3) + 1]) for k in range(60)], "doc_id long, text string").mapInArrow(masked_lm._encode, "doc_id long, words binary")
+    words, flat = sc.broadcast(masked_lm.vocabulary(coded, cfg)), sc.broadcast(masked_lm.Net(cfg).flat)
+    rows = coded.select("words").mapInArrow(masked_lm._train(cfg, words, flat, 0), masked_lm.SUMS).filter("slot = 0").collect()
+    assert cfg.rounds >= 1 and sum(r.weight for r in rows) == 120
+
+
 def test_batches_don_t_change_scores():
     cfg = masked_lm.WindowLm()
     net, rows = masked_lm.Net(cfg), [np.arange(n, dtype=np.uint16).tobytes() for n in (3, 0, 9)]

@@ -5,9 +5,9 @@ document's score is the sum of the logarithms of those conditional probabilities
 whole corpus, of words told apart by 32-bit hashes: frequent words have places of their own, the others share hashed places. The softmax has two levels
 (a class, then a place within it), so a prediction costs 128 products rather than 4096.
 
-Training takes windows at a fixed rate from every document (`every`: one in so many, so it grows with the corpus). Each
+Training takes every window of every document, once (`every`: one in so many; `rounds`: passes). Each
 task trains on its rows from the same start, and the tasks' parameters are averaged, weighted by windows, in two steps
-in the cluster; `rounds` such rounds follow one another. The driver holds one set of parameters (0.6 MB).
+in the cluster; rounds follow one another. The driver holds one set of parameters (0.6 MB).
 
 Words are those of lower-cased texts (letters and digits). Defined results: null and wordless texts have no tokens, a
 sum of 0 and a null mean; rows that repeat an id are scored each; an empty table gives no rows.
@@ -32,8 +32,8 @@ class WindowLm:
     width: int = 64
     dim: int = 16
     side: int = 2
-    every: int = 16
-    rounds: int = 2
+    every: int = 1
+    rounds: int = 1
     rate: float = 0.6
     batch: int = 2048
 
@@ -101,22 +101,26 @@ class Net:
         self.cls -= 8 * rate * p.T @ h
         self.cls_b -= 8 * rate * p.sum(0)
         order, runs = self.by_class(ids)
-        inner = ids[order] % self.cfg.width
+        inner, hs, t = ids[order] % self.cfg.width, h[order], np.empty((n, self.cfg.width), np.float32)
         for c, a, b in runs:
-            rows = order[a:b]
-            t = h[rows] @ self.word[c].T + self.word_b[c]
-            q = np.exp(t - t.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-            q[np.arange(b - a), inner[a:b]] -= 1
-            dh[rows] += q @ self.word[c]
-            self.word[c] -= 16 * rate * q.T @ h[rows]
-            self.word_b[c] -= 16 * rate * q.sum(0)
+            t[a:b] = hs[a:b] @ self.word[c].T + self.word_b[c]
+        q = np.exp(t - t.max(1, keepdims=True))
+        q /= q.sum(1, keepdims=True)
+        q[np.arange(n), inner] -= 1
+        for c, a, b in runs:
+            dh[order[a:b]] += q[a:b] @ self.word[c]
+            self.word[c] -= 16 * rate * q[a:b].T @ hs[a:b]
+            self.word_b[c] -= 16 * rate * q[a:b].sum(0)
         dz = dh * (1 - h * h)
         self.bias -= rate * dz.sum(0)
-        for k in range(context.shape[1]):
-            e = self.embed[context[:, k]]
-            np.add.at(self.embed, context[:, k], -16 * rate * dz * self.place[k])
-            self.place[k] -= rate * (dz * e).sum(0)
+        # Gradients of all contexts' words, summed by word in one pass.
+        flat = context.T.ravel()
+        by_word = np.argsort(flat, kind="stable")
+        starts = [a for a, _ in C.runs_of(flat[by_word])]
+        grads = np.concatenate([dz * place for place in self.place[: context.shape[1]]])[by_word]
+        change = [(dz * self.embed[context[:, k]]).sum(0) for k in range(context.shape[1])]
+        self.embed[flat[by_word[starts]]] -= 16 * rate * np.add.reduceat(grads, starts, axis=0)
+        self.place[: len(change)] -= rate * np.array(change)
 
 
 class Places:
