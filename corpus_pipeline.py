@@ -40,7 +40,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing to target weights", mixture), ("sharding", shards)]
 
-#: Learnt scores and probabilistic buckets are not SQL; the tests hold each stage against a brute-force version.
+#: Learnt scores and probabilistic buckets are not SQL; no test runs the stages. Of their operators keep_one is tested by brute force, thin for keeping clean rows.
 ORACLE_SQL = None
 
 
