@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import common as C
 from tidegauge.llm import masked_lm, mixing, subword_quality, toxicity
@@ -75,26 +76,89 @@ def test_masked_lm_prefers_the_order_it_has_seen(spark):
     seen = [(k, " ".join(cycle[(k + j) % 6] for j in range(60))) for k in range(300)]
     shuffled = [(1000 + k, " ".join(rng.sample(cycle * 10, 60))) for k in range(5)]
     docs = spark.createDataFrame(seen + shuffled + [(5000, None), (5001, "...")], "doc_id long, text string")
-    got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(docs, masked_lm.WindowLm(every=1, rounds=3, batch=64)).collect()}
+    got = {r.doc_id: r for r in masked_lm.pseudo_likelihood(docs, masked_lm.WindowLm(rounds=3, batch=64)).collect()}
     assert got[5000].n_tokens == 0 and got[5000].sum_log_prob == 0 and got[5001].mean_log_prob is None
     assert np.mean([got[k].mean_log_prob for k, _ in seen]) > np.mean([got[k].mean_log_prob for k, _ in shuffled]) + 0.3
 
 
-def test_training_takes_every_window(spark):
-    cfg, sc = masked_lm.WindowLm(), spark.sparkContext
-    coded = spark.createDataFrame([(k, "a b c"[: 2 * (k % 3) + 1]) for k in range(60)], "doc_id long, text string").mapInArrow(masked_lm._encode, "doc_id long, words binary")
-    words, flat = sc.broadcast(masked_lm.vocabulary(coded, cfg)), sc.broadcast(masked_lm.Net(cfg).flat)
-    rows = coded.select("words").mapInArrow(masked_lm._train(cfg, words, flat, 0), masked_lm.SUMS).filter("slot = 0").collect()
-    assert cfg.rounds >= 1 and sum(r.weight for r in rows) == 120
+def coded_texts(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").mapInArrow(masked_lm._encode, "doc_id long, words binary")
 
 
-def test_batches_don_t_change_scores():
+def test_training_takes_every_window_however_it_is_dealt(spark):
+    cfg, sc = masked_lm.WindowLm(part_windows=50), spark.sparkContext
+    coded = coded_texts(spark, ["a b c"[: 2 * (k % 3) + 1] for k in range(60)])
+    found, tokens = masked_lm.vocabulary(coded, cfg)
+    counts, flat = sc.broadcast(found), sc.broadcast(masked_lm.Net(cfg).flat)
+    rows = masked_lm.dealt(coded, cfg, tokens).mapInArrow(masked_lm._train(cfg, counts, flat, 0), masked_lm.SUMS).filter("slot = 0").collect()
+    assert cfg.rounds >= 1 and tokens == 120 and sum(r.weight for r in rows) == 120 and len(rows) == 3
+    docs = spark.createDataFrame([(k, text(KINDS[k % 4])) for k in range(40)], "doc_id long, text string")
+    score = lambda df: {r.doc_id: r.sum_log_prob for r in masked_lm.pseudo_likelihood(df, masked_lm.WindowLm(part_windows=500)).collect()}
+    one, other = score(docs.repartition(5)), score(docs.coalesce(1))
+    assert one == pytest.approx(other, rel=1e-5)
+
+
+def some_places(cfg, n, seed=0):
+    rng = np.random.default_rng(seed)
+    cls = rng.integers(0, cfg.classes, n)
+    own = cls < cfg.own_classes
+    places = np.where(own, cls * cfg.width + rng.integers(0, cfg.width, n), cfg.own_words + rng.integers(0, cfg.shared, n)).astype(np.uint16)
+    return places, cls.astype(np.uint8), np.where(own, 0, -rng.random(n)).astype(np.float32)
+
+
+def test_scores_are_a_literal_log_softmax():
+    cfg = masked_lm.WindowLm()
+    net, rows = masked_lm.Net(cfg), [some_places(cfg, n, n) for n in (3, 0, 40)]
+    net.flat += np.random.default_rng(1).normal(0, 0.3, len(net.flat)).astype(np.float32)
+    for scale in (1, 400):  # at the second, exp() of the outputs overflows
+        net.cls *= scale
+        for most in (1 << 19, 7):
+            owner, got = [], []
+            for ids, context, cls, tail, k in masked_lm.windows(cfg, rows, most):
+                got += net.log_probs(ids, context, cls, tail).tolist()
+                owner += k.tolist()
+            assert owner == [0] * 3 + [2] * 40
+            want = []
+            for places, cls, tail in rows:
+                line = [cfg.pad] * 2 + places.tolist() + [cfg.pad] * 2
+                for j in range(len(places)):
+                    around = [line[j], line[j + 1], line[j + 3], line[j + 4]]
+                    h = np.append(np.tanh(sum(net.embed[w].astype(float) * net.place[i] for i, w in enumerate(around)) + net.bias), 1)
+                    s = net.cls.astype(float) @ h
+                    value = s[cls[j]] - s.max() - np.log(np.exp(s - s.max()).sum()) + tail[j]
+                    if cls[j] < cfg.own_classes:
+                        t = net.word[cls[j]].astype(float) @ h
+                        value += t[places[j] % cfg.width] - t.max() - np.log(np.exp(t - t.max()).sum())
+                    want.append(value)
+            assert np.isfinite(got).all() and got == pytest.approx(want, abs=2e-3 * scale)
+
+
+def test_a_step_follows_the_gradient():
+    cfg = masked_lm.WindowLm(own_words=128, width=16, bands=4, shared=50, dim=4)
+    places, cls, tail = some_places(cfg, 30)
+    ids, context, cls, tail, _ = next(masked_lm.windows(cfg, [(places, cls, tail)]))
+    loss = lambda flat: -float(masked_lm.Net(cfg, flat).log_probs(ids, context, cls, tail).astype(float).mean())
+    net = masked_lm.Net(cfg)
+    before, rate = net.flat.copy(), 1e-3
+    net.step(ids, context, cls, rate)
+    faster = {"embed": 16, "cls": 8, "word": 16}
+    at = 0
+    for name in ("embed", "place", "bias", "cls", "word"):
+        n = getattr(net, name).size
+        moved = (before - net.flat)[at : at + n].astype(float) / rate / faster.get(name, 1)
+        k = at + int(np.abs(moved).argmax())
+        up, down = before.copy(), before.copy()
+        up[k] += 1e-2
+        down[k] -= 1e-2
+        assert (loss(up) - loss(down)) / 2e-2 == pytest.approx(moved[k - at], rel=0.05, abs=1e-4), name
+        at += n
+
+
+def test_shares_of_counts_sum_to_one_in_each_band():
     cfg = masked_lm.WindowLm()
-    net, rows = masked_lm.Net(cfg), [np.arange(n, dtype=np.uint16).tobytes() for n in (3, 0, 9)]
-    ids, context, sizes = masked_lm.windows(cfg, rows)
-    assert sizes.tolist() == [3, 0, 9] and len(ids) == 12 and context[0].tolist() == [cfg.size, cfg.size, 1, 2]
-    whole = net.log_probs(ids, context)
-    assert np.allclose(whole, np.concatenate([net.log_probs(ids[k : k + 1], context[k : k + 1]) for k in range(12)]), atol=1e-4)
+    found = masked_lm.Counts.of(cfg, np.zeros(0, np.uint32), np.random.default_rng(0).zipf(1.5, 5000).clip(1, 10**6))
+    for band in np.unique(found.band):
+        assert np.exp(found.share[found.band == band].astype(float)).sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_units_of_long_words_and_surrogates():
@@ -145,6 +209,17 @@ def test_features_of_texts_together_are_those_of_each_alone():
 def test_places_of_hashed_words():
     cfg = masked_lm.WindowLm()
     own = np.array([70, 5, 4_000_000_000], np.uint32)
-    got = np.frombuffer(masked_lm.Places(cfg, own).of(np.array([5, 70, 4_000_000_000, 6], np.uint32).tobytes()), np.uint16)
-    assert got[:3].tolist() == [1, 0, 2] and cfg.own_words <= got[3] < cfg.size
-    assert masked_lm.Places(cfg, own[:0]).of(b"") == b""
+    counts = masked_lm.Counts.of(cfg, own, np.array([3, 1, 1, 1]))
+    places, cls, tail = masked_lm.Places(cfg, counts).of(np.array([5, 70, 4_000_000_000, 6], np.uint32).tobytes())
+    assert places[:3].tolist() == [1, 0, 2] and cfg.own_words <= places[3] < cfg.pad
+    assert cls[:3].tolist() == [0, 0, 0] and cls[3] == cfg.own_classes + counts.band[2] and tail[:3].tolist() == [0, 0, 0]
+    assert tail[3] == pytest.approx(np.log(1 / 3))
+    nothing = masked_lm.Places(cfg, masked_lm.Counts.of(cfg, own[:0], np.zeros(1, np.int64))).of(b"")
+    assert [len(x) for x in nothing] == [0, 0, 0]
+
+
+def test_masked_lm_of_odd_tables(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None), (3, "x " * 30_000)], "doc_id long, text string").withColumn("words", F.lit(0))
+    got = masked_lm.pseudo_likelihood(docs).collect()
+    assert len(got) == 5 and len({r.sum_log_prob for r in got if r.n_tokens == 2}) == 1 and max(r.n_tokens for r in got) == 30_000
+    assert masked_lm.pseudo_likelihood(docs.limit(0)).count() == 0

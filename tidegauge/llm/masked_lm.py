@@ -1,20 +1,26 @@
 """LM scoring by masked pseudo-likelihood.
 
 A small bidirectional window network predicts every token from the two tokens before it and the two after it; a
-document's score is the sum of the logarithms of those conditional probabilities. The vocabulary is counted over the
-whole corpus, of words told apart by 32-bit hashes: frequent words have places of their own, the others share hashed places. The softmax has two levels
-(a class, then a place within it), so a prediction costs 128 products rather than 4096.
-
-Training takes every window of every document, once (`every`: one in so many; `rounds`: passes). Each
-task trains on its rows from the same start, and the tasks' parameters are averaged, weighted by windows, in two steps
-in the cluster; rounds follow one another. The driver holds one set of parameters (0.6 MB).
-
-Words are those of lower-cased texts (letters and digits). Defined results: null and wordless texts have no tokens, a
-sum of 0 and a null mean; rows that repeat an id are scored each; an empty table gives no rows.
+document's score is the sum of the logarithms of those conditional probabilities. Words are told apart by 32-bit hashes
+and counted over the whole corpus. The `own_words` most frequent ones have places of their own, in classes of `width`; all
+others fall into classes by their count. The network gives the probability of the class and, of an own word, that of its
+place in the class; another word's share of its class is its count's share of the class's counts. Counts of other words
+are held in as many counters as there are words, up to `counters`, where words begin to share counters. As context, other
+words share `shared` embeddings.
+
+Training takes every window of every document, once a round. Documents are dealt by a hash of id and words into parts of
+about `part_windows` windows, each ordered by that hash, so the result doesn't depend on how the table is partitioned.
+Each part is learnt from the same start, and the parts' parameters are averaged, weighted by windows, in two steps in
+the cluster. The driver holds one set of parameters (0.6 MB) and the counters (5 bytes each).
+
+Words are those of lower-cased texts (letters and digits). Very long texts are taken whole, a stretch at a time. Defined
+results: null and wordless texts have no tokens, a sum of 0 and a null mean; rows that repeat an id are scored each; an
+empty table gives no rows; columns other than the named ones are never read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,131 +33,184 @@ from . import common as C
 
 @dataclass(frozen=True)
 class WindowLm:
-    own_words: int = 2048
-    shared: int = 2048
+    own_words: int = 3072
+    bands: int = 16
     width: int = 64
+    shared: int = 2048
+    counters: int = 1 << 21
     dim: int = 16
     side: int = 2
-    every: int = 1
     rounds: int = 1
     rate: float = 0.6
-    batch: int = 2048
+    batch: int = 4096
+    part_windows: int = 4_000_000
 
     @property
-    def size(self) -> int:
-        return self.own_words + self.shared
+    def own_classes(self) -> int:
+        return self.own_words // self.width
 
     @property
     def classes(self) -> int:
-        return self.size // self.width
+        return self.own_classes + self.bands
+
+    @property
+    def pad(self) -> int:
+        """The place that stands for what lies beyond the ends of a text."""
+        return self.own_words + self.shared
+
+
+def log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of each row of `s` the logarithm of the softmax at one place; `s` is used up."""
+    s -= s.max(1, keepdims=True)
+    picked = s[np.arange(len(s)), at]
+    np.exp(s, out=s)
+    return picked - np.log(s.sum(1))
 
 
 class Net:
-    """Parameters in one flat vector; place `size` of the embedding stands for what lies beyond the ends of a text."""
+    """Parameters in one flat vector; the last column of `cls` and `word` is the offset, for which `hidden` ends in a one."""
 
     def __init__(self, cfg: WindowLm, flat: np.ndarray | None = None):
         self.cfg = cfg
-        c, w, d = cfg.classes, cfg.width, cfg.dim
-        shapes = {"embed": (cfg.size + 1, d), "place": (2 * cfg.side, d), "bias": (d,), "cls": (c, d), "cls_b": (c,), "word": (c, w, d), "word_b": (c, w)}
+        d = cfg.dim
+        shapes = {"embed": (cfg.pad + 1, d), "place": (2 * cfg.side, d), "bias": (d,), "cls": (cfg.classes, d + 1), "word": (cfg.own_classes, cfg.width, d + 1)}
         if flat is None:
             rng = np.random.default_rng(1)
             scale = {"embed": 0.3, "place": 0.5, "cls": 0.1, "word": 0.1}
-            flat = np.concatenate([rng.normal(0, scale.get(k, 0), s).ravel() for k, s in shapes.items()]).astype(np.float32)
+            start = {k: rng.normal(0, scale.get(k, 0), s) for k, s in shapes.items()}
+            start["cls"][..., d] = start["word"][..., d] = 0
+            flat = np.concatenate([x.ravel() for x in start.values()]).astype(np.float32)
         self.flat, at = np.array(flat, np.float32), 0
         for k, s in shapes.items():
             n = int(np.prod(s))
             setattr(self, k, self.flat[at : at + n].reshape(s))
             at += n
 
-    def hidden(self, context: np.ndarray) -> np.ndarray:
-        h = np.tile(self.bias, (len(context), 1))
-        for k in range(context.shape[1]):
-            e = self.embed.take(context[:, k], axis=0)
-            e *= self.place[k]
-            h += e
-        return np.tanh(h, out=h)
-
-    def by_class(self, ids: np.ndarray):
-        """Rows in the order of their classes, and (class, start, end) of each."""
-        cls = ids // self.cfg.width
-        order = np.argsort(cls, kind="stable")
+    def embedded(self, context: np.ndarray) -> np.ndarray:
+        """(2 * side, n, dim)"""
+        return self.embed.take(context.ravel(), axis=0).reshape(*context.shape, self.cfg.dim)
+
+    def hidden(self, e: np.ndarray) -> np.ndarray:
+        h = np.ones((e.shape[1], self.cfg.dim + 1), np.float32)
+        z = np.einsum("knd,kd->nd", e, self.place)
+        z += self.bias
+        np.tanh(z, out=h[:, :-1])
+        return h
+
+    def by_class(self, cls: np.ndarray):
+        """Rows of own words in the order of their classes, and (class, start, end) of each."""
+        own = np.flatnonzero(cls < self.cfg.own_classes)
+        order = own[np.argsort(cls[own], kind="stable")]
         return order, [(int(cls[order[a]]), a, b) for a, b in C.runs_of(cls[order])]
 
-    def log_probs(self, ids: np.ndarray, context: np.ndarray) -> np.ndarray:
-        h = self.hidden(context)
-        s = h @ self.cls.T + self.cls_b
-        cls = ids // self.cfg.width
-        out = s[np.arange(len(ids)), cls] - np.log(np.exp(s).sum(1))
-        order, runs = self.by_class(ids)
-        h, inner, part = h[order], ids[order] % self.cfg.width, np.empty(len(ids), np.float32)
+    def log_probs(self, ids: np.ndarray, context: np.ndarray, cls: np.ndarray, tail: np.ndarray) -> np.ndarray:
+        h = self.hidden(self.embedded(context))
+        out = log_softmax_at(h @ self.cls.T, cls) + tail
+        order, runs = self.by_class(cls)
+        hs, t = h[order], np.empty((len(order), self.cfg.width), np.float32)
         for c, a, b in runs:
-            t = h[a:b] @ self.word[c].T + self.word_b[c]
-            part[a:b] = t[np.arange(b - a), inner[a:b]] - np.log(np.exp(t).sum(1))
-        out[order] += part
+            np.matmul(hs[a:b], self.word[c].T, out=t[a:b])
+        out[order] += log_softmax_at(t, ids[order] % self.cfg.width)
         return out
 
-    def step(self, ids: np.ndarray, context: np.ndarray, rate: float) -> None:
-        n, h = len(ids), self.hidden(context)
-        rate = rate / n
-        s = h @ self.cls.T + self.cls_b
-        p = np.exp(s - s.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(n), ids // self.cfg.width] -= 1
-        dh = p @ self.cls
-        self.cls -= 8 * rate * p.T @ h
-        self.cls_b -= 8 * rate * p.sum(0)
-        order, runs = self.by_class(ids)
-        inner, hs, t = ids[order] % self.cfg.width, h[order], np.empty((n, self.cfg.width), np.float32)
+    @staticmethod
+    def _errors(s: np.ndarray, at: np.ndarray, rate: float) -> np.ndarray:
+        """`rate` times the softmax of s less the one-hot truth."""
+        s -= s.max(1, keepdims=True)
+        np.exp(s, out=s)
+        s *= rate / s.sum(1, keepdims=True)
+        s[np.arange(len(s)), at] -= rate
+        return s
+
+    def step(self, ids: np.ndarray, context: np.ndarray, cls: np.ndarray, rate: float) -> None:
+        n, d, e = len(ids), self.cfg.dim, self.embedded(context)
+        h, rate = self.hidden(e), np.float32(rate / n)
+        p = self._errors(h @ self.cls.T, cls, rate)
+        dh = p @ self.cls[:, :d]
+        self.cls -= 8 * (p.T @ h)
+        order, runs = self.by_class(cls)
+        hs, t = h[order], np.empty((len(order), self.cfg.width), np.float32)
         for c, a, b in runs:
-            t[a:b] = hs[a:b] @ self.word[c].T + self.word_b[c]
-        q = np.exp(t - t.max(1, keepdims=True))
-        q /= q.sum(1, keepdims=True)
-        q[np.arange(n), inner] -= 1
+            np.matmul(hs[a:b], self.word[c].T, out=t[a:b])
+        q = self._errors(t, ids[order] % self.cfg.width, rate)
+        back = np.empty((len(order), d), np.float32)
         for c, a, b in runs:
-            dh[order[a:b]] += q[a:b] @ self.word[c]
-            self.word[c] -= 16 * rate * q[a:b].T @ hs[a:b]
-            self.word_b[c] -= 16 * rate * q[a:b].sum(0)
+            np.matmul(q[a:b], self.word[c][:, :d], out=back[a:b])
+            self.word[c] -= 16 * (q[a:b].T @ hs[a:b])
+        dh[order] += back
+        h = h[:, :d]
         dz = dh * (1 - h * h)
-        self.bias -= rate * dz.sum(0)
-        # Gradients of all contexts' words, summed by word in one pass.
-        flat = context.T.ravel()
-        by_word = np.argsort(flat, kind="stable")
-        starts = [a for a, _ in C.runs_of(flat[by_word])]
-        grads = np.concatenate([dz * place for place in self.place[: context.shape[1]]])[by_word]
-        change = [(dz * self.embed[context[:, k]]).sum(0) for k in range(context.shape[1])]
-        self.embed[flat[by_word[starts]]] -= 16 * rate * np.add.reduceat(grads, starts, axis=0)
-        self.place[: len(change)] -= rate * np.array(change)
+        self.bias -= dz.sum(0)
+        # Gradients of all contexts' words, summed by word, a dimension at a time.
+        change, flat = np.einsum("knd,nd->kd", e, dz), context.ravel().astype(np.intp)
+        turned, scale = np.ascontiguousarray(dz.T), self.place.T.copy()
+        for k in range(d):
+            self.embed[:, k] -= 16 * np.bincount(flat, (scale[k][:, None] * turned[k]).ravel(), len(self.embed))
+        self.place -= change
+
+
+@dataclass
+class Counts:
+    """Hashes of the own words; of each counter its band and the logarithm of its share of that band's counts."""
+
+    own: np.ndarray
+    band: np.ndarray
+    share: np.ndarray
+
+    @staticmethod
+    def of(cfg: WindowLm, own: np.ndarray, counts: np.ndarray) -> Counts:
+        most = np.log2(max(1, counts.max(initial=0))) + 1
+        band = np.minimum(cfg.bands - 1, np.floor(cfg.bands * np.log2(np.maximum(counts, 1)) / most)).astype(np.uint8)
+        total = np.bincount(band, counts, cfg.bands)
+        return Counts(own, band, np.log(np.maximum(counts, 1) / np.maximum(total[band], 1)).astype(np.float32))
 
 
 class Places:
-    """Hashes of words to vocabulary places."""
+    """Hashes of words to places (as context), classes, and the logarithms of the shares within classes by count."""
 
-    def __init__(self, cfg: WindowLm, words: np.ndarray):
-        self.cfg, self.order = cfg, np.argsort(words).astype(np.uint16)
-        self.sorted = words[self.order]
+    def __init__(self, cfg: WindowLm, counts: Counts):
+        self.cfg, self.counts, self.order = cfg, counts, np.argsort(counts.own).astype(np.uint16)
+        self.sorted = counts.own[self.order]
 
-    def of(self, blob: bytes) -> bytes:
+    def of(self, blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         h = np.frombuffer(blob, np.uint32)
         places = (self.cfg.own_words + C.mix(h.astype(np.uint64)) % np.uint64(self.cfg.shared)).astype(np.uint16)
+        at = h % np.uint32(len(self.counts.band))
+        cls, tail = self.counts.band[at] + np.uint8(self.cfg.own_classes), self.counts.share[at]
         if len(self.sorted):
-            at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            own = self.sorted.take(at) == h
-            places[own] = self.order[at[own]]
-        return places.tobytes()
-
-
-def windows(cfg: WindowLm, blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All tokens' places, their contexts, and each text's number of tokens."""
-    parts, sizes, pad = [], [], np.full(cfg.side, cfg.size, np.int64)
-    for blob in blobs:
-        ids = np.frombuffer(blob, np.uint16).astype(np.int64)
-        sizes.append(len(ids))
-        parts += [pad, ids]
-    line, sizes = np.concatenate([*parts, pad]), np.array(sizes, np.int64)
-    starts = np.cumsum(np.concatenate([[0], sizes[:-1] + cfg.side])) + cfg.side
-    at = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-    context = np.stack([line.take(at + k) for k in range(-cfg.side, cfg.side + 1) if k]).T if len(at) else np.zeros((0, 2 * cfg.side), np.int64)
-    return line[at], context, sizes
+            k = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
+            own = self.sorted.take(k) == h
+            places[own] = self.order[k[own]]
+            cls[own], tail[own] = places[own] // self.cfg.width, 0
+        return places, cls, tail
+
+
+def windows(cfg: WindowLm, rows: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], most: int = 1 << 19):
+    """Of texts' (places, classes, shares): (places, contexts, classes, shares, text of each) of all tokens, in stretches of
+    about `most` of them; a longer text is cut, with what lies around each cut as context."""
+    side, pad = cfg.side, np.full(cfg.side, cfg.pad, np.uint16)
+    held: list[tuple] = []
+
+    def out():
+        line = np.concatenate([s for s, *_ in held])
+        sizes = np.array([len(c) for _, c, _, _ in held])
+        first = np.cumsum(np.concatenate([[0], sizes[:-1] + 2 * side])) + side
+        at = np.repeat(first - np.cumsum(np.concatenate([[0], sizes[:-1]])), sizes) + np.arange(sizes.sum())
+        context = np.stack([line.take(at + k) for k in range(-side, side + 1) if k])
+        return line[at], context, np.concatenate([c for _, c, _, _ in held]), np.concatenate([t for _, _, t, _ in held]), np.repeat([k for *_, k in held], sizes)
+
+    n = 0
+    for k, (places, cls, tail) in enumerate(rows):
+        line = np.concatenate([pad, places, pad])
+        for lo in range(0, len(places), most):
+            hi = min(lo + most, len(places))
+            held.append((line[lo : hi + 2 * side], cls[lo:hi], tail[lo:hi], k))
+            n += hi - lo
+            if n >= most:
+                yield out()
+                held, n = [], 0
+    if held:
+        yield out()
 
 
 def _encode(batches):
@@ -183,22 +242,20 @@ def _tally(most: int = 4_000_000):
 SUMS = "slot int, part int, weight double, vec binary"
 
 
-def _train(cfg: WindowLm, words, flat, round_: int, slot: int = 8192):
-    """Each task's parameters after its own rows, times its number of windows, in slots."""
+def _train(cfg: WindowLm, counts, flat, round_: int, slot: int = 8192):
+    """Each part's parameters after its own rows, times its number of windows, in slots."""
 
     def run(batches):
         from pyspark import TaskContext
 
-        net, places, total = Net(cfg, flat.value), Places(cfg, words.value), 0
-        for batch in C.pieces(batches, 500):
-            ids, context, _ = windows(cfg, list(map(places.of, batch.column(0).to_pylist())))
-            # One in `every` windows, by position and round, whatever the text's length.
-            pick = np.flatnonzero(C.mix(np.arange(len(ids), dtype=np.uint64) + np.uint64(total * 2 + round_ + 1)) % np.uint64(cfg.every) == 0)
-            pick = np.random.default_rng(total + round_).permutation(pick)
-            for lo in range(0, len(pick), cfg.batch):
-                k = pick[lo : lo + cfg.batch]
-                net.step(ids[k], context[k], cfg.rate / (1 + round_))
-            total += len(pick)
+        net, places, total = Net(cfg, flat.value), Places(cfg, counts.value), 0
+        rows = (places.of(blob) for batch in C.pieces(batches, 500) for blob in batch.column(0).to_pylist())
+        for ids, context, cls, _, _ in windows(cfg, rows):
+            order = np.random.default_rng(total + round_).permutation(len(ids))
+            for lo in range(0, len(order), cfg.batch):
+                k = order[lo : lo + cfg.batch]
+                net.step(ids[k], context[:, k], cls[k], cfg.rate / (1 + round_))
+            total += len(ids)
         if total:
             part = TaskContext.get().partitionId() % 1024
             slots = np.array_split(net.flat.astype(np.float64) * total, -(-len(net.flat) // slot))
@@ -217,37 +274,55 @@ def _sum_slots(batches):
 
 
 def _average(parts: DataFrame) -> np.ndarray:
-    by = lambda df, key: df.withColumn("key", key).repartition("key").sortWithinPartitions("key").mapInArrow(_sum_slots, SUMS)
+    by = lambda df, key: df.withColumn("key", key).repartition("key").sortWithinPartitions("key", "part").mapInArrow(_sum_slots, SUMS)
     once = by(parts, F.col("slot") * 1024 + F.col("part"))
     rows = by(once, F.col("slot").cast("int")).toArrow().sort_by("slot")
     return np.concatenate([np.frombuffer(v, np.float32) / w for v, w in zip(rows.column("vec").to_pylist(), rows.column("weight").to_pylist())])
 
 
-def _score(cfg: WindowLm, words, flat):
+def _score(cfg: WindowLm, counts, flat, most: int = 4096):
     def run(batches):
-        net, places = Net(cfg, flat.value), Places(cfg, words.value)
+        net, places = Net(cfg, flat.value), Places(cfg, counts.value)
         for batch in C.pieces(batches, 100):
-            ids, context, sizes = windows(cfg, list(map(places.of, batch.column(1).to_pylist())))
-            logs = np.concatenate([net.log_probs(ids[lo : lo + 16384], context[lo : lo + 16384]) for lo in range(0, len(ids), 16384)] or [np.zeros(0)])
-            ends = np.concatenate([[0], np.cumsum(logs.astype(np.float64))])
-            cuts = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(ends[cuts[1:]] - ends[cuts[:-1]])], ["doc_id", "n_tokens", "sum_log_prob"])
+            sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for ids, context, cls, tail, owner in windows(cfg, map(places.of, batch.column(1).to_pylist())):
+                logs = np.concatenate([net.log_probs(ids[k : k + most], context[:, k : k + most], cls[k : k + most], tail[k : k + most]) for k in range(0, len(ids), most)])
+                sizes += np.bincount(owner, minlength=len(sizes))
+                sums += np.bincount(owner, logs.astype(np.float64), len(sizes))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(sums)], ["doc_id", "n_tokens", "sum_log_prob"])
 
     return run
 
 
-def vocabulary(coded: DataFrame, cfg: WindowLm) -> np.ndarray:
-    """Hashes of the most frequent words of the corpus, bounded in number."""
-    counts = coded.select("words").mapInArrow(_tally(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return np.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(cfg.own_words).collect()], np.uint32)
+def vocabulary(coded: DataFrame, cfg: WindowLm) -> tuple[Counts, int]:
+    """Counts of all words of the corpus, and the number of its tokens."""
+    counts = C.materialize(coded.select("words").mapInArrow(_tally(), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(cfg.own_words)
+    own = np.array([r.word for r in top.collect()], np.uint32)
+    words, tokens = counts.agg(F.count(F.lit(1)), F.sum("n")).first()
+    size = min(cfg.counters, 1 << max(0, words - 1).bit_length())
+    rest = counts.join(F.broadcast(top.select(F.col("word").alias("own"))), F.col("word") == F.col("own"), "left_anti")
+    found = rest.groupBy((F.col("word") % size).cast("int").alias("at")).agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(size, np.int64)
+    table[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    C.release(counts)
+    return Counts.of(cfg, own, table), int(tokens or 0)
+
+
+def dealt(coded: DataFrame, cfg: WindowLm, tokens: int) -> DataFrame:
+    """The words of all documents, in parts and an order that their ids and words alone decide."""
+    key = F.xxhash64("doc_id", "words")
+    parts = max(1, -(-tokens // cfg.part_windows))
+    return coded.select("words", key.alias("key")).repartition(parts, "key").sortWithinPartitions("key").select("words")
 
 
 def pseudo_likelihood(docs: DataFrame, cfg: WindowLm = WindowLm(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_tokens, sum_log_prob, mean_log_prob."""
     docs, sc = C.intake(docs, doc_id=doc_id, text=text), docs.sparkSession.sparkContext
     coded = C.materialize(docs.mapInArrow(_encode, "doc_id long, words binary"), "words")
-    words, flat = sc.broadcast(vocabulary(coded, cfg)), Net(cfg).flat
-    for k in range(cfg.rounds if len(words.value) else 0):
-        flat = _average(coded.select("words").mapInArrow(_train(cfg, words, sc.broadcast(flat), k), SUMS))
-    scored = coded.mapInArrow(_score(cfg, words, sc.broadcast(flat)), "doc_id long, n_tokens long, sum_log_prob double")
+    found, tokens = vocabulary(coded, cfg)
+    counts, flat = sc.broadcast(found), Net(cfg).flat
+    for k in range(cfg.rounds if tokens else 0):
+        flat = _average(dealt(coded, cfg, tokens).mapInArrow(_train(cfg, counts, sc.broadcast(flat), k), SUMS))
+    scored = coded.mapInArrow(_score(cfg, counts, sc.broadcast(flat)), "doc_id long, n_tokens long, sum_log_prob double")
     return scored.withColumn("mean_log_prob", F.when(F.col("n_tokens") > 0, F.col("sum_log_prob") / F.col("n_tokens")))
