@@ -1,13 +1,14 @@
 """Sharding by proportional stratified interleaving, with built-in expressions only.
 
-The rows of each source are put into a seeded order; the row of rank r among n gets the fraction (2r + 1) / 2n.
-All rows sorted by that fraction interleave the sources in proportion, so equal cuts of that order have the mixture
-of the whole. Ranks come from counts of narrow hash ranges and of rows within such a range, so that neither a source
-nor the whole order is ever sorted in one task.
-
-Defined results: a null source is a source of its own; null texts have no bytes; ties of the order (equal fractions)
-go by source, seeded hash and id; rows that repeat an id are placed each, next to each other; an empty table gives
-no rows; with fewer rows than shards some shards stay empty.
+The rows of each source are put into a seeded order; the row of rank r among n gets the fraction (r + u) / n, where u is a
+seeded number in (0, 1) of the source. All rows sorted by that fraction interleave the sources in proportion, and sources
+of few rows spread evenly, so equal cuts of that order have the mixture of the whole. Ranks come from counts of narrow
+hash ranges and of rows within such a range, so that neither a source nor the whole order is ever sorted in one task.
+
+Defined results: a null source is a source of its own; null texts have no bytes; ties of the order (equal fractions) go by
+source; rows that repeat id and text are placed each, wherever their hash with a row number puts them; rows with a null
+id go by their text's hash; very long texts count by their bytes alone; an empty table gives no rows; with fewer rows than
+shards some shards stay empty; columns other than the named ones are never read.
 """
 
 from __future__ import annotations
@@ -42,14 +43,21 @@ def interleave(docs: DataFrame, shards: int = 40, seed: str = "tidegauge", rows_
     """One row for each document: doc_id, source, size, text_crc32, law, shard, slot, grown_shard (null: the law is `rows`)."""
     docs = C.intake(docs, doc_id=doc_id, text=text, source=source)
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16
-    slim = docs.select("doc_id", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("h"))
-    slim = C.materialize(slim, "slim")
+    slim = docs.select("doc_id", "source", size.alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    slim = C.materialize(slim, "rows")
+    # Rows alike in id and text are told apart by the numbers they were written with, as one hash would put them into one cell.
+    alike = slim.groupBy(F.col("doc_id").alias("a_id"), F.col("text_crc32").alias("a_crc")).agg(F.count(F.lit(1)).alias("a_n")).filter("a_n > 1")
+    slim = slim.join(alike, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("text_crc32") == F.col("a_crc")), "left")
+    seeded = lambda *parts: F.md5(F.concat_ws(":", F.lit(seed), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]))
+    h = seeded(F.col("doc_id"), F.col("text_crc32"), F.when(F.col("a_n") > 1, F.col("row")))
+    slim = C.materialize(slim.select("doc_id", "source", "size", "text_crc32", h.alias("h")), "slim")
     total = slim.count()
     digits = max(1, min(7, math.ceil(math.log(max(1, total / rows_per_cell), 16))))
     of_source = slim.groupBy(F.col("source").alias("n_source")).agg(F.count(F.lit(1)).alias("n"))
     cell = F.conv(F.substring("h", 1, digits), 16, 10).cast("long")
+    start = (F.conv(F.substring(seeded(F.lit("start"), F.col("source")), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
     ranked = _ranked(slim, ["source"], cell, ["h", "doc_id", "text_crc32", "size"], "r")
-    ranked = ranked.join(of_source, F.col("source").eqNullSafe(F.col("n_source"))).withColumn("f", (2 * F.col("r") + 1) / (2 * F.col("n")))
+    ranked = ranked.join(of_source, F.col("source").eqNullSafe(F.col("n_source"))).withColumn("f", (F.col("r") + start) / F.col("n"))
     cells = max(1, total // rows_per_cell)
     placed = _ranked(ranked.withColumn("one", F.lit(0)), ["one"], F.floor(F.col("f") * cells), ["f", F.asc_nulls_first("source"), "r"], "g")
     # Shard s takes the ranks from ceil(s * total / shards) on.
