@@ -3,10 +3,10 @@ r"""Token counts: pieces are counted once per distinct pre-token, joined to the
 A pre-token is a run of spaces with the characters up to the next space or line feed. No piece of such a vocabulary
 holds a space behind another character, and none holds a line feed, so merges never cross a pre-token (both are checked
 when the model is read). The most frequent pre-tokens, bounded in number and length, are sent to all executors; the
-others, which are rare, are dealt out by a shuffle. Ids are never kept.
+others, which are rare, are dealt out by a shuffle. Very long texts are taken whole. Ids are never kept.
 
 Defined results: null texts are empty and have no tokens; rows that repeat an id are counted each; no rows of an empty
-table. Model files are read on the driver and sent along, so executors need no such file.
+table; columns other than the named ones are never read. Model files are read on the driver and sent along, so executors need no such file.
 """
 
 from __future__ import annotations
@@ -109,6 +109,20 @@ def _look_up(head):
     return run
 
 
+def head(pieces: DataFrame, most: int) -> DataFrame:
+    """(key, pieces) of the most frequent keys, `most` at most: those above a cutoff, which a histogram of the frequencies'
+    logarithms gives (64 steps to the doubling), so that nothing is sorted and no task gathers more than that."""
+    step = F.floor(F.log2("freq") * 64).cast("int")
+    steps = sorted(pieces.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    held, cut = 0, None
+    for at, n in steps:
+        held += n
+        if held > most:
+            break
+        cut = at
+    return pieces.filter(step >= cut if cut is not None else F.lit(False)).select("key", "pieces")
+
+
 def token_counts(docs: DataFrame, model: str | bytes, limit: int = 4096, head_keys: int = 250_000, head_key_chars: int = 32, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_tokens, over_limit. `model`: path or content of a sentencepiece file."""
     proto = model if isinstance(model, bytes) else Path(model).read_bytes()
@@ -117,11 +131,10 @@ def token_counts(docs: DataFrame, model: str | bytes, limit: int = 4096, head_ke
     docs = C.intake(docs, doc_id=doc_id, text=text)
     freq = docs.select("text").mapInArrow(_tally(), "key string, freq long").groupBy("key").agg(F.sum("freq").alias("freq"))
     pieces = C.materialize(freq.mapInArrow(_count_pieces(proto), "key string, freq long, pieces long"), "pieces")
-    short = pieces.filter(F.length("key") <= head_key_chars)
-    top = short.orderBy(F.desc("freq"), "key").limit(head_keys).select("key", "pieces").toArrow()
-    head = docs.sparkSession.sparkContext.broadcast((top.column("key").to_pylist(), top.column("pieces").to_pylist()))
+    top = head(pieces.filter(F.length("key") <= head_key_chars), head_keys).toArrow()
+    sent = docs.sparkSession.sparkContext.broadcast((top.column("key").to_pylist(), top.column("pieces").to_pylist()))
     sized = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    known = sized.mapInArrow(_look_up(head), "doc_id long, n_bytes long, known long, rest array<struct<key: string, freq: long>>")
+    known = sized.mapInArrow(_look_up(sent), "doc_id long, n_bytes long, known long, rest array<struct<key: string, freq: long>>")
     known = C.materialize(known.withColumn("row", F.monotonically_increasing_id()), "known")
     rest = known.select("row", F.explode("rest").alias("t")).select("row", "t.key", "t.freq")
     rare = rest.join(pieces.select("key", "pieces"), "key").groupBy("row").agg(F.sum(F.col("freq") * F.col("pieces")).alias("more"))
