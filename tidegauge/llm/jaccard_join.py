@@ -18,7 +18,6 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -259,21 +258,14 @@ def _buckets(reps: DataFrame, plan: ChosenPaths) -> DataFrame:
     return dealt.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "block", (F.col("block") != F.col("other")).alias("across"), "first")
 
 
-def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000, most_filter_bytes: int = 64 << 20) -> DataFrame:
+def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000) -> DataFrame:
     """Documents of the given ids. Ids are counted first: few are broadcast; more make a Bloom filter of bounded size, so that
     the exact join that follows doesn't deal out the texts of all other documents."""
     n = ids.count()
     if n <= broadcast_ids:
         return docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    if n * 12 // 8 <= most_filter_bytes:
-        words = docs.sparkSession.sparkContext.broadcast(BlockedBloom.build(ids.select(F.xxhash64("doc_id").alias("h")), n).words)
-
-        @F.pandas_udf("boolean")
-        def may_hold(h: pd.Series) -> pd.Series:
-            return pd.Series(BlockedBloom(words.value).may_hold(h.to_numpy(np.int64)))
-
-        docs = docs.filter(may_hold(F.xxhash64("doc_id")))
-    return docs.join(ids, "doc_id", "left_semi")
+    bloom = BlockedBloom.build(ids.select(F.xxhash64("doc_id").alias("h")), n)
+    return bloom.passed(docs, F.xxhash64("doc_id")).join(ids, "doc_id", "left_semi")
 
 
 def jaccard_join(docs: DataFrame, plan: ChosenPaths = ChosenPaths(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:

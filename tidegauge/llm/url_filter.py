@@ -5,7 +5,8 @@ Canonical form: host without `www.` and the path without `.html` and final slash
 fragment don't count. The filter has blocks of 512 bits (eight words); a key sets one bit in each word of its block.
 
 Defined results: null URLs and those without `://` have an empty host and path, fit no rule, are not listed and so
-allowed; null list entries are no entries; repeated rows are each judged; an empty list blocks nothing.
+allowed; null list entries are no entries; repeated rows are each judged; an empty list blocks nothing; empty pages give no rows;
+columns other than the named ones are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ def canonical(host: Column, path: Column) -> Column:
 
 
 class BlockedBloom:
-    """512-bit blocks; `bits` filter bits for each key."""
+    """512-bit blocks; `bits` filter bits for each key, fewer where the filter would grow beyond `most_bytes`: then more keys
+    pass that the exact join has to sort out."""
 
     def __init__(self, words: np.ndarray):
         self.words = words.reshape(-1, 8)
@@ -52,9 +54,9 @@ class BlockedBloom:
         return block.astype(np.int64), np.uint64(1) << bits
 
     @classmethod
-    def build(cls, hashes: DataFrame, keys: int, bits: int = 12) -> BlockedBloom:
+    def build(cls, hashes: DataFrame, keys: int, bits: int = 12, most_bytes: int = 64 << 20) -> BlockedBloom:
         """`hashes` has one long column h. Its partitions' blocks are united in the cluster; the driver gets the filter alone."""
-        blocks = max(1, -(-keys * bits // 512))
+        blocks = max(1, min(-(-keys * bits // 512), most_bytes // 64))
 
         def run(frames):
             for frame in frames:
@@ -71,25 +73,27 @@ class BlockedBloom:
         words[rows["block"].to_numpy(np.int64)] = rows[[f"w{k}" for k in range(8)]].to_numpy(np.int64).view(np.uint64)
         return cls(words)
 
+    def passed(self, df: DataFrame, hashed: Column) -> DataFrame:
+        """The rows whose hash the filter may hold."""
+        words = df.sparkSession.sparkContext.broadcast(self.words)
+
+        @F.pandas_udf("boolean")
+        def may_hold(h: pd.Series) -> pd.Series:
+            return pd.Series(BlockedBloom(words.value).may_hold(h.to_numpy(np.int64)))
+
+        return df.filter(may_hold(hashed))
+
     def may_hold(self, hashes: np.ndarray) -> np.ndarray:
         block, masks = self.places(hashes, len(self.words))
         return ((self.words[block] & masks) == masks).all(1)
 
 
 def listed(urls: DataFrame, blocklist: DataFrame, most_filter_bytes: int = 64 << 20, bits: int = 12) -> DataFrame:
-    """`urls` (with a column canon) and is_listed: whether the blocklist (a column canon) has it. The filter is sent to all
-    executors if its counted size is within `most_filter_bytes`; beyond that the exact join alone decides."""
+    """`urls` (with a column canon) and is_listed: whether the blocklist (a column canon) has it. The filter, of
+    `most_filter_bytes` at most, is sent to all executors; what it lets pass is joined exactly."""
     entries = C.materialize(blocklist.select(F.col("canon").alias("entry")).filter("entry is not null").distinct(), "blocklist")
-    keys = entries.count()
-    possible = urls.filter("canon is not null")
-    if keys * bits // 8 <= most_filter_bytes:
-        bloom = urls.sparkSession.sparkContext.broadcast(BlockedBloom.build(entries.select(F.xxhash64("entry").alias("h")), keys, bits).words)
-
-        @F.pandas_udf("boolean")
-        def may_hold(h: pd.Series) -> pd.Series:
-            return pd.Series(BlockedBloom(bloom.value).may_hold(h.to_numpy(np.int64)))
-
-        possible = possible.filter(may_hold(F.xxhash64("canon")))
+    bloom = BlockedBloom.build(entries.select(F.xxhash64("entry").alias("h")), entries.count(), bits, most_filter_bytes)
+    possible = bloom.passed(urls.filter("canon is not null"), F.xxhash64("canon"))
     # Each possible URL is looked up once, however many pages share it.
     hits = possible.select("canon").distinct().join(entries, F.col("canon") == F.col("entry"), "left_semi").select(F.col("canon").alias("hit"))
     hits = C.materialize(hits, "listed")
