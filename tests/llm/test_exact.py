@@ -4,6 +4,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidegauge.llm import common as C
 from tidegauge.llm import decontaminate, jaccard_join, quality_rules, sharding, token_counts, url_filter
@@ -67,7 +68,12 @@ def test_empty_tables(docs, operator):
 def test_decontamination_against_brute_force(spark, docs):
     lower = lambda t: re.findall(C.FOLDED_WORD, (t or "").translate({k: k + 32 for k in range(65, 91)}))
     items = [(1, " ".join(BASE[0].split()[5:25])), (2, BASE[0].title()), (3, "one two"), (4, None), (5, ""), (6, " ".join(BASE[1].split()[:10])), (7, "é" + " ".join(BASE[1].split()[:9]))]
-    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("win", F.lit(0)).withColumn("words", F.lit(0))
+    got = {r.doc_id: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert got == {r.doc_id: r for r in decontaminate.decontaminate(docs, bench, broadcast_bytes=0).collect()}
+    again = decontaminate.decontaminate(docs.union(docs).withColumn("row", F.lit(1)), bench).collect()
+    assert sorted(map(str, again)) == sorted(map(str, [*got.values(), *got.values()]))
+    assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
     for k, t, *_ in ROWS:
         w, hit, ids = lower(t), set(), set()
         for i, x in items:
@@ -165,3 +171,73 @@ def test_token_counts_are_the_library_s(spark, docs):
         assert len(rows) == len(text)
         for r in rows:
             assert (r.n_bytes, r.n_tokens) == (len(text[r.doc_id].encode()), len(sp.encode(text[r.doc_id]))), repr(text[r.doc_id])
+
+
+def test_token_head_is_above_a_cutoff(spark):
+    rows = [("k%d" % k, 1 + k % 50, 2) for k in range(500)]
+    pieces = spark.createDataFrame(rows, "key string, freq long, pieces long")
+    for most in (0, 1, 20, 333, 500, 10_000):
+        got = {r.key for r in token_counts.head(pieces, most).collect()}
+        assert len(got) <= most and (most < 500 or len(got) == 500)
+        kept, left = [f for k, f, _ in rows if k in got], [f for k, f, _ in rows if k not in got]
+        assert not kept or not left or min(kept) > max(left)
+
+
+@pytest.mark.parametrize("most_bytes", [64 << 20, 64])
+def test_listed_at_any_filter_size(spark, most_bytes):
+    urls = spark.createDataFrame([(k, "h%d/p" % (k % 700)) for k in range(1500)] + [(9999, None)], "n int, canon string")
+    entries = spark.createDataFrame([("h%d/p" % (3 * k),) for k in range(2000)] + [(None,)], "canon string")
+    got = {r.n: r.is_listed for r in url_filter.listed(urls, entries, most_bytes).collect()}
+    assert got == {**{k: k % 700 % 3 == 0 for k in range(1500)}, 9999: False}
+    assert len(url_filter.BlockedBloom.build(spark.range(1000).select(F.xxhash64("id").alias("h")), 1000, most_bytes=128).words) == 2
+
+
+def test_urls_of_odd_tables(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (1, "http://a.net/x"), (2, "http://a.net/" + "y" * 100_000)], "page_id long, url string").withColumn("is_listed", F.lit("?"))
+    listed = spark.createDataFrame([("http://a.net/x",), ("http://never.seen/",)], "url string")
+    assert sorted((r.page_id, r.verdict) for r in url_filter.filter_urls(pages, listed).collect()) == [(1, "block"), (1, "block"), (2, "allow")]
+    assert url_filter.filter_urls(pages.limit(0), listed).count() == 0
+    assert {r.verdict for r in url_filter.filter_urls(pages, listed.limit(0)).collect()} == {"allow"}
+
+
+def interleaved(rows, shards, seed="tidegauge"):
+    """The same by sorting everything."""
+    import hashlib as H
+
+    md5 = lambda *p: H.md5(":".join([seed, *["" if x is None else str(x) for x in p]]).encode()).hexdigest()
+    out, by = [], {}
+    for k, t, source in rows:
+        crc = zlib.crc32((t or "").encode())
+        by.setdefault(source, []).append((md5(k, crc, None), k, crc))
+    for source, own in by.items():
+        u = (int(md5("start", source)[:8], 16) + 0.5) / 2**32
+        out += [((r + u) / len(own), (source is not None, source or ""), r, k, crc) for r, (_, k, crc) in enumerate(sorted(own, key=lambda x: x[0]))]
+    n, found = len(out), {}
+    for g, (*_, k, crc) in enumerate(sorted(out)):
+        shard = g * shards // n
+        found[k, crc] = (shard, g - -(-shard * n // shards))
+    return found
+
+
+def test_interleaving_is_one_sort(spark):
+    rows = [(k if k % 9 else None, "t%d" % k, None if k % 11 == 0 else "hot" if k % 3 == 0 else "s%d" % (k % 200)) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("h", F.lit(1)).withColumn("size", F.lit("x"))
+    got = {(r.doc_id, r.text_crc32): (r.shard, r.slot) for r in sharding.interleave(docs, shards=7, rows_per_cell=20).collect()}
+    assert got == interleaved(rows, 7)
+
+
+def test_no_cell_is_hot(spark, monkeypatch):
+    """One-row sources, null ids and rows that repeat id and text don't meet in one task."""
+    rows = [(k, "x", "s%d" % k) for k in range(3000)] + [(None, "t%d" % k, "a") for k in range(3000)] + [(7, "same", "b")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    cells, real = [], sharding._ranked
+
+    def seen(df, within, cell, order, name):
+        cells.append(max(r["count"] for r in df.groupBy(*within, cell.alias("cell")).count().collect()))
+        return real(df, within, cell, order, name)
+
+    monkeypatch.setattr(sharding, "_ranked", seen)
+    out = sharding.interleave(docs, shards=10, rows_per_cell=100).collect()
+    assert len(out) == 9000 and len(cells) == 2 and max(cells) < 400
+    singles = [sum(r.shard == s and str(r.source).startswith("s") for r in out) for s in range(10)]
+    assert max(singles) < 2 * min(singles)

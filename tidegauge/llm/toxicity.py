@@ -176,9 +176,15 @@ def _fit(classes: int, cfg: Ftrl):
 
 
 def sample(docs: DataFrame, marks: DataFrame, learn: Column, most_rows: int) -> DataFrame:
-    """(h, y, text) of at most `most_rows` labelled rows: those least by a hash of the id. `marks` has m_id and y."""
-    ids = marks.filter("y is not null and m_id is not null").filter(learn).withColumn("h", F.xxhash64("m_id", F.lit(17))).orderBy("h", "m_id").limit(most_rows)
-    return docs.join(ids, F.col("doc_id") == F.col("m_id")).select("h", F.col("y").cast("long").alias("y"), "text")
+    """(h, y, text) of at most `most_rows` labelled ids: those least by a hash of the id, each with its least text, however
+    many rows repeat it. `marks` has m_id and y."""
+    ids = marks.filter("y is not null and m_id is not null").filter(learn).withColumn("h", F.xxhash64("m_id", F.lit(17)))
+    # Hashes are spread evenly, so a cut at a quarter more than the wanted share leaves few to be sorted.
+    share = 1.25 * most_rows / max(1, ids.count())
+    if share < 1:
+        ids = ids.filter(F.col("h") < int(2**64 * share) - 2**63)
+    ids = ids.orderBy("h", "m_id").limit(most_rows)
+    return docs.join(ids, F.col("doc_id") == F.col("m_id")).groupBy("m_id", "h", F.col("y").cast("long").alias("y")).agg(F.min("text").alias("text")).select("h", "y", "text")
 
 
 def fit(docs: DataFrame, marks: DataFrame, learn: Column, classes: int, cfg: Ftrl = Ftrl()) -> tuple[np.ndarray, np.ndarray]:
