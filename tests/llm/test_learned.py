@@ -172,14 +172,16 @@ def test_units_are_those_of_whole_words():
     weights = np.random.default_rng(0).normal(size=1 << cfg.bits)
     one, many = subword_quality.Units(cfg), subword_quality.Units(cfg, block=100)
     scored = [subword_quality.Units(cfg, weights), subword_quality.Units(cfg, weights, block=100)]
-    for text in ("ab", head + "tail", head + "liat", f"a {junk} b {junk} {junk}", f"{head} {head}y a", head + "tail"):
+    for text in ("ab", "добрый день", "日本語の文", head + "tail", head + "liat", f"a {junk} b {junk} {junk}", f"{head} {head}y a", head + "tail"):
         words, n = text.split(), np.zeros(1 << cfg.bits)
         for w in words:
             n[number(zlib.crc32(w.encode()) + (1 << 32) + 7)] += 1
-            raw = f"<{w}>".encode()
             for g in cfg.grams:
-                for j in range(len(raw) - g + 1):
-                    n[number(int.from_bytes(bytes([g]) + raw[j : j + g], "big"))] += 1
+                for j in range(len(w) + 3 - g):
+                    code = g
+                    for c in f"<{w}>"[j : j + g]:
+                        code = (code * int(subword_quality.FOLD) + ord(c)) % 2**64
+                    n[number(code)] += 1
         for a, b in zip(words[:-1], words[1:]):
             h = [zlib.crc32(x.encode()) + (1 << 32) for x in (a, b)]
             n[1 if a == b else number(h[0] * 3 + h[1])] += 1

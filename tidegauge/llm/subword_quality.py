@@ -2,12 +2,13 @@
 
 Hashed words, their character n-grams and word pairs each have a learned vector; a document is the mean of the vectors
 of all its units, and a softmax layer gives its class. Vectors and layer are trained together by stochastic gradient
-descent in numpy, in one task, on at most `most_rows` labelled rows (those least by a hash of the id). Scoring covers
-all rows and whole texts, every word by the n-grams of all its bytes; the vectors, of a fixed size, are sent to all executors.
+descent in numpy, in one task, on at most `most_rows` labelled ids (those least by a hash of the id). Scoring covers
+all rows and whole texts, every word by the n-grams of all its characters (code points); the vectors, of a fixed size, are sent to all executors.
 
 Words are separated by white space and keep their case and punctuation. A pair of equal words is one unit, whatever
 the word. Defined results: null and empty texts have the score of the layer's bias; labels that conflict count by
-their least value, null labels don't count; without labelled rows all scores are one half.
+their least value, null labels don't count; without labelled rows all scores are one half; rows that repeat an id are scored
+each, and learnt from once; very long texts are taken whole; an empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from . import common as C
 from .toxicity import sample
 
 
+#: What the characters of an n-gram are folded by: an odd number beyond the code points.
+FOLD = np.uint64(0x9E3779B97F4A7C15)
+
+
 @dataclass(frozen=True)
 class Subwords:
     bits: int = 15
@@ -37,7 +42,7 @@ class Subwords:
 class Units:
     """Unit numbers of words and texts; what a word of up to `longest` characters consists of is kept while there is room,
     longer words are taken apart whole each time. With `weights` (a number for each unit) texts have the mean of their
-    units' weights instead. New words are taken apart together, in numpy, `block` bytes at a time."""
+    units' weights instead. New words are taken apart together, in numpy, `block` characters at a time."""
 
     def __init__(self, cfg: Subwords, weights: np.ndarray | None = None, most: int = 250_000, longest: int = 64, block: int = 1 << 20):
         self.cfg, self.mask, self.most, self.weights, self.longest, self.block = cfg, np.uint64((1 << cfg.bits) - 1), most, weights, longest, block
@@ -59,9 +64,9 @@ class Units:
             del self.place[w]
         self.long, self.counts = [], {}
 
-    def grams(self, raw: list[bytes]):
-        """(units, words): of all runs of bytes within the words, the unit and its word's number, a block and a width at a time."""
-        line, ends = np.frombuffer(b"".join(raw) + bytes(max(self.cfg.grams)), np.uint8), np.cumsum([len(b) for b in raw])
+    def grams(self, raw: list[np.ndarray]):
+        """(units, words): of all runs of characters within the words, the unit and its word's number, a block and a width at a time."""
+        line, ends = np.concatenate([*raw, np.zeros(max(self.cfg.grams), np.uint32)]), np.cumsum([len(b) for b in raw])
         for lo in range(0, int(ends[-1]), self.block):
             hi = min(lo + self.block, int(ends[-1]))
             word = np.repeat(np.arange(len(raw)), np.diff(np.clip(ends, lo, hi), prepend=lo))
@@ -69,7 +74,7 @@ class Units:
             for width in self.cfg.grams:
                 here, code = line[lo : hi + width].astype(np.uint64), np.full(hi - lo, width, np.uint64)
                 for k in range(width):
-                    code = (code << np.uint64(8)) | here[k : hi - lo + k]
+                    code = code * FOLD + here[k : hi - lo + k]
                 held = left >= width
                 yield (C.mix(code[held]) & self.mask).astype(np.int64), word[held]
 
@@ -80,7 +85,7 @@ class Units:
         self.long = [w for w in words if len(w) > self.longest]
         while self.n > len(self.hash):
             self.hash, self.size, self.sums = (np.concatenate([x, np.zeros_like(x)]) for x in (self.hash, self.size, self.sums))
-        raw = [f"<{w}>".encode("utf-8", "surrogatepass") for w in words]
+        raw = [np.frombuffer(f"<{w}>".encode("utf-32-le", "surrogatepass"), np.uint32) for w in words]
         sizes, here = np.array([len(b) for b in raw]), slice(k, self.n)
         self.hash[here] = np.fromiter((crc(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) + np.uint64(1 << 32)
         whole = (C.mix(self.hash[here] + np.uint64(7)) & self.mask).astype(np.int64)
