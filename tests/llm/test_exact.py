@@ -241,3 +241,29 @@ def test_no_cell_is_hot(spark, monkeypatch):
     assert len(out) == 9000 and len(cells) == 2 and max(cells) < 400
     singles = [sum(r.shard == s and str(r.source).startswith("s") for r in out) for s in range(10)]
     assert max(singles) < 2 * min(singles)
+
+
+def test_jaccard_join_of_repeated_ids(spark):
+    """Two different texts under one id, and a near copy of one of them: the link is found whichever row comes first."""
+    rows = []
+    for k in range(30):
+        a, b = prose(60), prose(60)
+        near = " ".join([*a.split()[:-1], "other"])
+        rows += [(k, b), (k, a), (1000 + k, near)] if k % 2 else [(k, a), (k, b), (1000 + k, near)]
+        rows += [(2000 + k, a)] * (k % 3) + [(k, a)] * (k % 4 == 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("rep", F.lit("x")).withColumn("h", F.lit(0))
+    got = jaccard_join.jaccard_join(docs).collect()
+    assert len(got) == len(rows)
+    by = {r.doc_id: r for r in got if r.doc_id >= 1000}
+    assert [by[1000 + k].class_id for k in range(30)] == list(range(30))
+    assert [by[1000 + k].n_links for k in range(30)] == [1 + k % 3 + (k % 4 == 1) for k in range(30)]
+    kept = [(r.doc_id, r.text) for r in jaccard_join.keep_one(docs).collect()]
+    assert sorted(kept) == sorted({(k, t) for k, t in rows if k < 1000})
+
+
+def test_jaccard_join_of_odd_tables(spark):
+    far = " ".join("v%d" % k for k in range(50_000))
+    docs = spark.createDataFrame([(1, far), (2, far + " end"), (None, "a b c d e f"), (None, "a b c d e f"), (3, "a b c d e f")], "doc_id long, text string")
+    got = jaccard_join.jaccard_join(docs, jaccard_join.ChosenPaths(block_shingles=1000)).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.n_links) for r in got) == [(0, 3, 2), (0, 3, 2), (1, 1, 1), (2, 1, 1), (3, 3, 2)]
+    assert jaccard_join.keep_one(docs.limit(0)).count() == 0

@@ -9,7 +9,9 @@ chance to meet reaches `target_recall` at the threshold.
 Defined results: null and wordless texts have no shingles, no links and a class of their own; fewer words
 than a shingle are one shingle; texts with equal shingle sets are copies (one representative, linked to each
 other); an empty table gives no rows; a null id keeps its row, with a null class unless it has copies with ids.
-Rows that repeat an id are one member of the graph. Only the named columns are read.
+A set is named by a number of its own, not by an id, so rows that repeat an id with different texts are members each
+with their own links, and rows that repeat both are copies. Very long texts are taken whole; blocks are bounded in
+shingles as well as in rows. Links that are equal in similarity all count. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from .url_filter import BlockedBloom
 @dataclass(frozen=True)
 class ChosenPaths:
     """width: words of a shingle. levels: how often a bucket may be split. split_above: rows of a bucket that is
-    split rather than compared. block: rows that one brute-force task takes from each side. sketch: 16-bit
+    split rather than compared. block, block_shingles: rows, and about how many shingles, that one brute-force task takes
+    from each side. sketch: 16-bit
     min-hashes that a pair is held against before its sets are read; a pair is dropped when it agrees on fewer
     than six standard deviations below what the threshold predicts."""
 
@@ -39,6 +42,7 @@ class ChosenPaths:
     levels: int = 3
     split_above: int = 8192
     block: int = 1024
+    block_shingles: int = 2_000_000
     sketch: int = 64
 
     @property
@@ -52,11 +56,16 @@ class ChosenPaths:
         return max(1, math.floor(mean - 6 * math.sqrt(mean * (1 - self.threshold))))
 
 
-SIGNED = "doc_id long, n long, fp1 long, fp2 long, path array<long>, sketch binary"
+SIGNED = "doc_id long, h long, n long, fp1 long, fp2 long, path array<long>, sketch binary"
+
+
+def _fingerprint(tokens: np.ndarray) -> np.ndarray:
+    """128 bits that don't depend on the order."""
+    return np.array([C.mix(tokens).sum(dtype=np.uint64), C.mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64)], np.uint64)
 
 
 def _sign(plan: ChosenPaths):
-    """(doc_id, text) -> SIGNED."""
+    """(doc_id, text, hash of the text) -> SIGNED."""
     n_path = plan.levels * plan.runs
     seeds = np.random.default_rng(7).integers(1, 2**63, max(n_path, plan.sketch), dtype=np.uint64) | np.uint64(1)
 
@@ -67,32 +76,34 @@ def _sign(plan: ChosenPaths):
             sets = [C.shingle_hashes(hashes.of(C.folded_words(t)), plan.width) for t in texts]
             sizes = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(sizes)
-            fps = np.zeros((2, len(sets)), np.uint64)
+            fps = np.stack([_fingerprint(s) for s in sets]).T if sets else np.zeros((2, 0), np.uint64)
             least = np.zeros((len(seeds), len(sets)), np.uint64)
             if len(full):
                 tokens, starts = np.concatenate([sets[k] for k in full]), np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
-                fps[0, full] = np.add.reduceat(C.mix(tokens), starts)
-                fps[1, full] = np.add.reduceat(C.mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)), starts)
                 for k, seed in enumerate(seeds):
                     least[k, full] = np.minimum.reduceat((tokens ^ (seed >> np.uint64(7))) * seed, starts)
             least = C.mix(least)
             sketch = np.ascontiguousarray(least[: plan.sketch].astype(np.uint16).T)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(sizes), pa.array(fps[0].view(np.int64)), pa.array(fps[1].view(np.int64)), C.flat_int64(np.ascontiguousarray(least[:n_path].T).view(np.int64).ravel(), np.full(len(sets), n_path)), pa.array([row.tobytes() for row in sketch], pa.binary())],
-                ["doc_id", "n", "fp1", "fp2", "path", "sketch"],
+                [batch.column(0).cast(pa.int64()), batch.column(2), pa.array(sizes), pa.array(np.ascontiguousarray(fps[0]).view(np.int64)), pa.array(np.ascontiguousarray(fps[1]).view(np.int64)), C.flat_int64(np.ascontiguousarray(least[:n_path].T).view(np.int64).ravel(), np.full(len(sets), n_path)), pa.array([row.tobytes() for row in sketch], pa.binary())],
+                ["doc_id", "h", "n", "fp1", "fp2", "path", "sketch"],
             )
 
     return run
 
 
+SET = ["least", "n", "fp1", "fp2"]
+
+
 def _shingles(plan: ChosenPaths):
-    """(rep, text) -> (rep, tokens)."""
+    """(doc_id, text) -> SET and tokens."""
 
     def run(batches):
         hashes = C.WordHashes()
         for batch in C.pieces(batches, 200):
-            sets = [C.shingle_hashes(hashes.of(C.folded_words(t)), plan.width).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sets, pa.binary())], ["rep", "tokens"])
+            sets = [C.shingle_hashes(hashes.of(C.folded_words(t)), plan.width) for t in batch.column(1).to_pylist()]
+            fps = [_fingerprint(s).view(np.int64).tolist() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([f[k] for f in fps], pa.int64()) for k in (0, 1)], pa.array([s.tobytes() for s in sets], pa.binary())], [*SET, "tokens"])
 
     return run
 
@@ -144,7 +155,7 @@ def _candidates(plan: ChosenPaths):
                         ok &= (sk[part, None, :] == sk[None]).sum(-1, dtype=np.int16) >= plan.agreements
                         keep[a + part.start : a + part.stop] |= ok.any(1)
             if keep.any():
-                out = table.filter(pa.array(keep)).select(["task", "rep", "n", "weight", "block", "across", "first", "path"])
+                out = table.filter(pa.array(keep)).select(["task", "rep", *SET, "weight", "block", "across", "first", "path"])
                 yield from out.to_batches()
 
     return run
@@ -238,11 +249,11 @@ def _buckets(reps: DataFrame, plan: ChosenPaths) -> DataFrame:
     leaves, rows = [], None
     for level in range(plan.levels):
         if rows is None:
-            found = reps.select("rep", F.posexplode(F.slice("path", 1, r)).alias("c", "token")).select(F.xxhash64("c", "token").alias("bucket"), F.array("c").alias("first"), "rep")
+            found = reps.select("rep", "n", F.posexplode(F.slice("path", 1, r)).alias("c", "token")).select(F.xxhash64("c", "token").alias("bucket"), F.array("c").alias("first"), "rep", "n")
         else:
-            found = rows.join(reps.select("rep", F.slice("path", level * r + 1, r).alias("path")), "rep").select("rep", "bucket", "first", F.posexplode("path").alias("c", "token"))
-            found = found.select(F.xxhash64("bucket", "c", "token").alias("bucket"), F.concat("first", F.array("c")).alias("first"), "rep")
-        size = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+            found = rows.join(reps.select("rep", F.slice("path", level * r + 1, r).alias("path")), "rep").select("rep", "n", "bucket", "first", F.posexplode("path").alias("c", "token"))
+            found = found.select(F.xxhash64("bucket", "c", "token").alias("bucket"), F.concat("first", F.array("c")).alias("first"), "rep", "n")
+        size = found.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")).filter("size > 1")
         met = C.materialize(found.join(size, "bucket"), f"level{level}")
         last = level == plan.levels - 1
         leaves.append(met if last else met.filter(F.col("size") <= plan.split_above))
@@ -252,7 +263,7 @@ def _buckets(reps: DataFrame, plan: ChosenPaths) -> DataFrame:
     leaf = leaves[0]
     for more in leaves[1:]:
         leaf = leaf.union(more)
-    blocks = F.ceil(F.col("size") / plan.block)
+    blocks = F.least(F.col("size"), F.ceil(F.greatest(F.col("size") / plan.block, F.col("shingles") / plan.block_shingles)))
     dealt = leaf.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     return dealt.select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("task"), "rep", "block", (F.col("block") != F.col("other")).alias("across"), "first")
@@ -268,40 +279,60 @@ def _only(docs: DataFrame, ids: DataFrame, broadcast_ids: int = 1_000_000) -> Da
     return bloom.passed(docs, F.xxhash64("doc_id")).join(ids, "doc_id", "left_semi")
 
 
-def jaccard_join(docs: DataFrame, plan: ChosenPaths = ChosenPaths(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row for each document: doc_id, class_id (least id of all that links connect with it), n_links (other
-    documents of similarity `threshold` or more, copies included), n_text_links (the same, of different shingle
-    sets, each counted once), n_shingles and n_copies (documents with its shingle set, itself included)."""
-    docs = C.intake(docs, doc_id=doc_id, text=text)
-    signed = C.materialize(docs.mapInArrow(_sign(plan), SIGNED), "signed")
+def _joined(docs: DataFrame, plan: ChosenPaths) -> DataFrame:
+    """doc_id, h (hash of the text), the columns of jaccard_join(), and stays: whether it has the id and the set that its
+    class is named by."""
+    signed = C.materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(_sign(plan), SIGNED), "signed")
     same = ["n", "fp1", "fp2"]
-    sets = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
-    sets = C.materialize(sets, "sets")
-    reps = sets.filter("rep is not null")
-
-    wide = reps.select("rep", "n", "weight", "path", "sketch")
-    met = _buckets(reps, plan).join(wide, "rep").select("task", "rep", "n", "weight", "block", "across", "first", "path", "sketch")
-    near = met.repartition("task").sortWithinPartitions("task").mapInArrow(_candidates(plan), "task long, rep long, n long, weight long, block long, across boolean, first array<int>, path array<long>")
+    sets = signed.filter("n > 0").groupBy(*same).agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("path").alias("path"), F.first("sketch").alias("sketch"))
+    # Numbers are given once, as the table is written.
+    sets = C.materialize(sets.withColumn("rep", F.monotonically_increasing_id()), "sets")
+    reps = sets.filter("least is not null")
+
+    wide = reps.select("rep", *SET, "weight", "path", "sketch")
+    met = _buckets(reps, plan).join(wide, "rep").select("task", "rep", *SET, "weight", "block", "across", "first", "path", "sketch")
+    near = met.repartition("task").sortWithinPartitions("task").mapInArrow(_candidates(plan), "task long, rep long, least long, n long, fp1 long, fp2 long, weight long, block long, across boolean, first array<int>, path array<long>")
     near = C.materialize(near, "near")
-    texts = _only(docs, near.select(F.col("rep").alias("doc_id")).distinct())
-    tokens = texts.mapInArrow(_shingles(plan), "rep long, tokens binary")
-    links = near.join(tokens, "rep").repartition("task").sortWithinPartitions("task").mapInArrow(_verified(plan), "rep long, root long, texts long, docs long")
-    links = C.materialize(links, "links")
-
-    classes = connected(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))).withColumnRenamed("u", "rep")
+    texts = _only(docs, near.select(F.col("least").alias("doc_id")).distinct())
+    tokens = texts.select("doc_id", "text").mapInArrow(_shingles(plan), "least long, n long, fp1 long, fp2 long, tokens binary").dropDuplicates(SET)
+    dealt = near.join(tokens, SET).select("task", "rep", "n", "weight", "block", "across", "first", "path", "tokens")
+    links = C.materialize(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_verified(plan), "rep long, root long, texts long, docs long"), "links")
+
+    classes = C.materialize(connected(links.select(F.col("rep").alias("u"), F.col("root").alias("v"))).select(F.col("u").alias("rep"), "root"), "classes")
+    members = classes.union(classes.select(F.col("root").alias("rep"), "root").distinct()).join(reps.select("rep", *SET), "rep")
+    head = members.groupBy("root").agg(F.min(F.struct("least", "fp1", "fp2")).alias("head"))
+    named = members.select("rep", "root").join(head, "root").select("rep", "head")
     counts = links.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
-    known = sets.select(*same, "rep", "weight").join(classes, "rep", "left").join(counts, "rep", "left")
-    known = known.select(*[F.col(c).alias(f"k_{c}") for c in same], "rep", "weight", "root", "texts", "docs")
-    full = signed.select("doc_id", *same).join(known, [F.col(c) == F.col(f"k_{c}") for c in same], "left")
+    known = sets.select(*same, "rep", "least", "weight").join(named, "rep", "left").join(counts, "rep", "left")
+    known = known.withColumn("head", F.coalesce("head", F.struct("least", "fp1", "fp2")))
+    known = known.select(*[F.col(c).alias(f"k_{c}") for c in same], "weight", "head", "texts", "docs")
+    full = signed.select("doc_id", "h", *same).join(known, [F.col(c) == F.col(f"k_{c}") for c in same], "left")
     copies = F.coalesce("weight", F.lit(1).cast("long"))
     return full.select(
-        "doc_id", F.coalesce("root", "rep", "doc_id").alias("class_id"), (copies - 1 + F.coalesce("docs", F.lit(0).cast("long"))).alias("n_links"),
+        "doc_id", "h", F.coalesce("head.least", "doc_id").alias("class_id"), (copies - 1 + F.coalesce("docs", F.lit(0).cast("long"))).alias("n_links"),
         F.coalesce("texts", F.lit(0).cast("long")).alias("n_text_links"), F.col("n").alias("n_shingles"), copies.alias("n_copies"),
+        F.coalesce(F.struct(F.col("doc_id").alias("least"), "fp1", "fp2") == F.col("head"), F.lit(True)).alias("stays"),
     )
 
 
-def keep_one(docs: DataFrame, plan: ChosenPaths = ChosenPaths()) -> DataFrame:
-    """The documents of least id of each class, with all their columns; rows with a null id or no words all stay."""
-    joined = jaccard_join(docs, plan)
-    drop = joined.filter("doc_id is not null and class_id <> doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+def jaccard_join(docs: DataFrame, plan: ChosenPaths = ChosenPaths(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each document: doc_id, class_id (least id of all that links connect with it), n_links (other
+    documents of similarity `threshold` or more, copies included), n_text_links (the same, of different shingle
+    sets, each counted once), n_shingles and n_copies (documents with its shingle set, itself included)."""
+    return _joined(C.intake(docs, doc_id=doc_id, text=text), plan).drop("h", "stays")
+
+
+def keep_one(docs: DataFrame, plan: ChosenPaths = ChosenPaths(), broadcast_rows: int = 1_000_000) -> DataFrame:
+    """One document of each class, of its least id, with all its columns; rows with a null id or no words all stay. Rows are
+    told apart by id and text; of rows alike in both one stays."""
+    joined = C.materialize(_joined(C.intake(docs, doc_id="doc_id", text="text"), plan).filter("doc_id is not null and n_shingles > 0"), "joined")
+    named = lambda df: df.select(F.col("doc_id").alias("d_id"), F.col("h").alias("d_h"))
+    drop = C.materialize(named(joined.filter("not stays")).distinct(), "drop")
+    twice = C.materialize(named(joined.filter("stays").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")), "twice")
+    is_it = (F.col("doc_id") == F.col("d_id")) & (F.xxhash64("text") == F.col("d_h"))
+    small = lambda df: F.broadcast(df) if df.count() <= broadcast_rows else df
+    kept = docs.join(small(drop), is_it, "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    alike = kept.join(small(twice), is_it, "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return kept.join(small(twice), is_it, "left_anti").select(*docs.columns).union(alike)
