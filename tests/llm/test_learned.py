@@ -60,7 +60,7 @@ def test_mixture_reaches_its_targets(tables):
 
 
 def test_thinning_keeps_clean_documents(tables):
-    kept = {r.doc_id for r in mixing.thin(*tables, {"toxic": 0.05, "junk": 0.01}).collect()}
+    kept = {r.doc_id for r in mixing.thin(*tables, {"clean": 0.94, "toxic": 0.05, "junk": 0.01}).collect()}
     clean = {k for k, _, kind in DATA if kind == "clean"}
     assert clean <= kept and len(kept) < len(DATA)
 
@@ -225,3 +225,86 @@ def test_masked_lm_of_odd_tables(spark):
     got = masked_lm.pseudo_likelihood(docs).collect()
     assert len(got) == 5 and len({r.sum_log_prob for r in got if r.n_tokens == 2}) == 1 and max(r.n_tokens for r in got) == 30_000
     assert masked_lm.pseudo_likelihood(docs.limit(0)).count() == 0
+
+
+def nonnegative_least_squares(n, p, targets, most=np.inf, passes=60_000):
+    """Plain projected gradient on the rates."""
+    a = (n[:, None] * p).T
+    r, rate = np.ones(len(n)), 1 / np.linalg.eigvalsh(a @ a.T).max()
+    for _ in range(passes):
+        r = np.clip(r - rate * (a.T @ (a @ r - targets)), 0, most)
+    return a @ r
+
+
+@pytest.mark.parametrize("weights,most", [((0.5, 0.3, 0.2), None), ((0.1, 0.8, 0.1), 1.0), ((0.0, 1.0, 0.0), None), ((1.0, 0.0, 0.0), 2.0)])
+def test_rates_are_those_of_plain_least_squares(spark, weights, most):
+    r = np.random.default_rng(3)
+    n, p = r.integers(1, 50, 80).astype(float), r.dirichlet([1, 0.5, 0.3], 80)
+    table = spark.createDataFrame([(int(x), *map(float, y)) for x, y in zip(n, p)], "n_tokens long, p_clean double, p_toxic double, p_junk double")
+    targets = np.array(weights) * n.sum()
+    rate, got = mixing.fit_rates(table, targets, most)
+    want = nonnegative_least_squares(n, p, targets, most or np.inf)
+    assert np.linalg.norm(got - targets) <= np.linalg.norm(want - targets) * 1.05 + 2e-3 * n.sum()
+    rows = table.withColumn("rate", rate).collect()
+    assert sum(x.rate * x.n_tokens * x.p_toxic for x in rows) == pytest.approx(got[1]) and all(0 <= x.rate <= (most or np.inf) for x in rows)
+
+
+def test_out_of_reach_targets_are_told(tables):
+    rows = mixing.mix(*tables, {"clean": 0.0, "toxic": 1.0}, total_tokens=10**6, most=1.0).collect()
+    assert {round(r.off_toxic, 2) for r in rows} == {round(sum(r.n_tokens * r.p_toxic * r.rate for r in rows) / 10**6 - 1, 2)} and rows[0].off_toxic < -0.5
+    met = mixing.mix(*tables, {"clean": 0.6, "toxic": 0.3, "junk": 0.1}).first()
+    assert max(abs(met[f"off_{d}"]) for d in mixing.DOMAINS) < 0.01
+
+
+def test_weights_are_those_of_a_literal_ftrl():
+    r = np.random.default_rng(0)
+    cfg = toxicity.Ftrl(bits=5, l1=0.3, epochs=2, least_rows=1, calibrate=7)
+    rows = [(int(r.random() < 0.5), np.unique(r.integers(0, 32, 6))) for _ in range(60)]
+    w, bias = toxicity.train(rows, 1, cfg)
+    kept, learnt = rows[::7], [x for k, x in enumerate(rows) if k % 7]
+    z, n, b, bn, order = [0.0] * 32, [0.0] * 32, 0.0, 0.0, np.random.default_rng(5)
+    weight = lambda j: 0.0 if abs(z[j]) <= cfg.l1 else -(z[j] - np.sign(z[j]) * cfg.l1) / ((cfg.beta + n[j] ** 0.5) / cfg.alpha + cfg.l2)
+    for _ in range(2):
+        for k in order.permutation(len(learnt)):
+            y, f = learnt[k]
+            g = 1 / (1 + np.exp(-(sum(weight(j) for j in f) + b))) - (y == 0)
+            for j in f:
+                was = weight(j)
+                z[j] += g - ((n[j] + g * g) ** 0.5 - n[j] ** 0.5) / cfg.alpha * was
+                n[j] += g * g
+            bn += g * g
+            b -= cfg.alpha / (cfg.beta + bn**0.5) * g
+    want = np.array([weight(j) for j in range(32)])
+    scale, offset = toxicity.calibration(np.array([want[f].sum() + b for _, f in kept]), np.array([float(y == 0) for y, _ in kept]))
+    assert np.allclose(w[0], want * scale) and bias[0] == pytest.approx(b * scale + offset)
+
+
+def test_a_quality_step_follows_the_gradient():
+    """One row, one epoch: the layer and the bias move along the gradient of the softmax's loss, by the stated rates."""
+    cfg = subword_quality.Subwords(bits=6, dim=3, epochs=1)
+    units, share = np.array([2, 9, 40]), np.array([0.5, 0.25, 0.25], np.float32)
+    vectors, layer, bias = subword_quality.train([(1, units, share)], 2, cfg)
+    r = np.random.default_rng(3)
+    v0 = r.uniform(-1 / 3, 1 / 3, (64, 3)).astype(np.float32)
+    l0 = r.normal(0, 0.3, (3, 2)).astype(np.float32)
+    mean = share @ v0[units]
+    p = np.exp(mean @ l0)
+    p = p / p.sum() - [0, 1]
+    assert np.allclose(bias, -cfg.rate * 0.05 * p, atol=1e-6)
+    moved = v0[units] - cfg.rate * np.outer(share / (share @ share), l0 @ p)
+    assert np.allclose(vectors[units], moved, atol=1e-5) and np.allclose(layer, l0 - cfg.rate * 0.2 * np.outer(mean, p), atol=1e-5)
+
+
+@pytest.mark.parametrize("operator", [lambda d, l: toxicity.toxicity(d, l), lambda d, l: subword_quality.quality_scores(d, l), lambda d, l: mixing.mix(d, l, {"clean": 1.0})])
+def test_odd_tables(spark, tables, operator):
+    """Repeated rows are scored each, a labelled id is learnt from once, very long texts are whole, columns may clash."""
+    docs, labels = tables[0].drop("score"), tables[1]
+    more = docs.union(docs.filter("doc_id < 100")).union(spark.createDataFrame([(7000, text("clean") * 3000), (None, "a b")], "doc_id long, text string"))
+    got = operator(more.withColumn("n_tokens", F.lit("x")).withColumn("p", F.lit(1)).withColumn("y", F.lit(2)), labels).collect()
+    assert len(got) == len(DATA) + 104
+    seen = {}
+    assert all(seen.setdefault(r.doc_id, r) == r for r in got)
+    alone = {r.doc_id: r for r in operator(docs, labels).collect()}
+    name = "score" if "score" in got[0] else "p_toxic"
+    assert all(alone[k][name] == pytest.approx(seen[k][name]) for k in alone)
+    assert operator(docs.limit(0), labels).count() == 0

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 from .toxicity import sample
@@ -190,28 +191,40 @@ def _fit(classes: int, cfg: Subwords):
     return run
 
 
-def _score(model, cfg: Subwords):
-    """The softmax of two classes depends on the difference of their outputs alone, and that difference of a document's
-    mean vector is the mean of the differences of its units: each unit needs one number."""
+def _score(model, cfg: Subwords, names: list[str], at: int):
+    """Rows -> the same with a score; the text is column `at`. The softmax of two classes depends on the difference of their
+    outputs alone, and that difference of a document's mean vector is the mean of the differences of its units: each unit
+    needs one number."""
 
     def run(batches):
         vectors, layer, bias = model.value
         units = Units(cfg, vectors.astype(np.float64) @ (layer[:, 1] - layer[:, 0]).astype(np.float64))
         offset = float(bias[1]) - float(bias[0])
         for batch in C.pieces(batches, 200):
-            z = np.array([units.mean(t) for t in batch.column(1).to_pylist()], np.float64) + offset
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], ["doc_id", "score"])
+            z = np.array([units.mean(t) for t in batch.column(at).to_pylist()], np.float64) + offset
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names)
 
     return run
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, cfg: Subwords = Subwords(), threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
-    """One row for each document: doc_id, held_out, score, predicted. Held-out rows' labels are never learnt from."""
-    docs = C.intake(docs, doc_id=doc_id, text=text)
+def scored(docs: DataFrame, labels: DataFrame, cfg: Subwords = Subwords(), doc_id: str = "doc_id", text: str = "text", label: str = "quality", name: str = "score") -> DataFrame:
+    """All columns of `docs` and `name`: the probability of label 1. Held-out rows' labels are never learnt from."""
+    slim = C.intake(docs, doc_id=doc_id, text=text)
     marks = labels.select(labels[doc_id].alias("m_id"), labels[label].alias("m")).groupBy("m_id").agg(F.min("m").alias("y"))
-    rows = sample(docs, marks, ~C.held_out(F.col("m_id")), cfg.most_rows).mapInArrow(_extract(cfg), "h long, y long, units binary, shares binary")
+    rows = sample(slim, marks, ~C.held_out(F.col("m_id")), cfg.most_rows).mapInArrow(_extract(cfg), "h long, y long, units binary, shares binary")
     parts = rows.repartition(1).sortWithinPartitions("h", "units").mapInArrow(_fit(2, cfg), "part binary").toArrow().column(0).to_pylist()
     vectors, layer, bias = (np.frombuffer(p, np.float32) for p in parts) if parts else (np.zeros(n, np.float32) for n in (cfg.dim << cfg.bits, 2 * cfg.dim, 2))
     sent = docs.sparkSession.sparkContext.broadcast((vectors.reshape(-1, cfg.dim), layer.reshape(cfg.dim, 2), bias))
-    scored = docs.mapInArrow(_score(sent, cfg), "doc_id long, score double")
-    return scored.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = T.StructType([*docs.schema, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(_score(sent, cfg, schema.names, docs.columns.index(text)), schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, cfg: Subwords = Subwords(), threshold: float = 0.3, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """One row for each document: doc_id, held_out, score, predicted."""
+    found = scored(C.intake(docs, doc_id=doc_id, text=text), labels.select(labels[doc_id].alias("doc_id"), labels[label].alias("quality")), cfg)
+    return found.select("doc_id", C.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, cfg: Subwords = Subwords(), threshold: float = 0.3) -> DataFrame:
+    """The rows that score `threshold` or more, with all their columns; each row is judged by its own text."""
+    return scored(docs, labels, cfg, name="__score").filter(F.col("__score") >= threshold).select(*docs.columns)

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -201,29 +202,33 @@ def fit(docs: DataFrame, marks: DataFrame, learn: Column, classes: int, cfg: Ftr
     return w, bias
 
 
-def _score(model, cfg: Ftrl):
-    """(doc_id, text) -> doc_id, n_tokens, one probability for each class."""
+def _score(model, cfg: Ftrl, names: list[str], at: int):
+    """Rows -> the same with n_tokens and one probability for each class, under the last of `names`; the text is column `at`."""
 
     def run(batches):
         w, bias = model.value
         features = Features(cfg.bits, (w != 0).any(0), cfg.stem)
         for batch in C.pieces(batches, 500):
             out, sizes = np.tile(bias, (batch.num_rows, 1)), np.zeros(batch.num_rows, np.int64)
-            for start, texts in together(batch.column(1).to_pylist()):
+            for start, texts in together(batch.column(at).to_pylist()):
                 owner, places, n = features.of(texts)
                 sizes[start : start + len(texts)] = n
                 for c in range(len(w)):
                     out[start : start + len(texts), c] += np.bincount(owner, w[c, places], len(texts))
             p = 1 / (1 + np.exp(-np.clip(out, -30, 30)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), C.flat_float64(p)], ["doc_id", "n_tokens", "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64()), C.flat_float64(p)], names)
 
     return run
 
 
-def class_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cfg: Ftrl = Ftrl()) -> DataFrame:
-    """doc_id, n_tokens, p (a probability for each class, against the rest)."""
+def class_scores(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], cfg: Ftrl = Ftrl(), keep: list[str] = ["doc_id"], prefix: str = "") -> DataFrame:  # noqa: B006
+    """The columns `keep`, and n_tokens and p (a probability for each class, against the rest), their names after `prefix`."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select("doc_id", "text").mapInArrow(_score(sent, cfg), "doc_id long, n_tokens long, p array<double>")
+    if "text" not in keep:
+        return class_scores(docs, model, cfg, [*keep, "text"], prefix).drop("text")
+    kept = docs.select(*keep)
+    schema = T.StructType([*kept.schema, T.StructField(prefix + "n_tokens", T.LongType()), T.StructField(prefix + "p", T.ArrayType(T.DoubleType()))])
+    return kept.mapInArrow(_score(sent, cfg, schema.names, keep.index("text")), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, cfg: Ftrl = Ftrl(), threshold: float = 0.5, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
