@@ -2,7 +2,8 @@
 
 Each stage is (spark, docs, sf_dir) -> DataFrame and is written and read again before the next one. All but the last
 return the columns of `documents`. Rejected are: documents that the quality classifier scores below its threshold; all
-but one of each class of near-duplicates; documents with a benchmark window; toxic documents beyond their share.
+but one of each class of near-duplicates; documents with a benchmark window; toxic and junk documents beyond their weights.
+Every stage judges rows by their own texts, so rows that repeat an id don't share a verdict.
 """
 
 from __future__ import annotations
@@ -12,14 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidegauge.llm import decontaminate, jaccard_join, mixing, sharding, subword_quality
 from tidegauge.llm.common import materialize
 
-#: The largest shares of the mixture's tokens that domains other than the clean one may have.
-SHARES = {"toxic": 0.05, "junk": 0.01}
+#: Target weights of the mixture's tokens.
+WEIGHTS = {"clean": 0.94, "toxic": 0.05, "junk": 0.01}
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    scored = subword_quality.quality_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rejected = scored.filter("predicted = 0 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*docs.columns)
+    return subword_quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.thin(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), SHARES)
+    return mixing.thin(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), WEIGHTS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("mixing to target weights", mixture), ("sharding", shards)]
 
-#: Learnt scores and probabilistic buckets are not SQL; no test runs the stages. Of their operators keep_one is tested by brute force, thin for keeping clean rows.
+#: Learnt scores and probabilistic buckets are not SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,11 +101,16 @@ def test_rules_counts_and_risk(spark, docs):
     for k, t, *_ in ROWS:
         w = re.findall(C.SPACED_WORD, t or "")
         grams = [tuple(w[j : j + 5]) for j in range(len(w) - 4)]
-        rep = {q for j, g in enumerate(grams) if grams.count(g) > 1 for q in range(j, j + 5)} if len(w) < 1000 else set()
+        count = Counter(grams)
+        rep = {q for j, g in enumerate(grams) if count[g] > 1 for q in range(j, j + 5)}
         lines = [x for x in (t or "").split("\n") if re.search(C.SPACED_WORD, x)]
         r = got[k]
         assert (r.n_words, r.word_chars, r.n_repeat_words, r.n_dup_lines) == (len(w), sum(map(len, w)), len(rep), len(lines) - len(set(lines)))
         assert r.base_failed == (len(w) < 10 or 100 * len(rep) > 20 * len(w))
+    again = quality_rules.quality_rules(all_docs.union(docs).withColumn("words", F.lit(0)).withColumn("broken", F.lit(0)), labels).collect()
+    assert len(again) == len(got) + len(ROWS) and all(r.kept == got[r.doc_id].kept for r in again)
+    assert quality_rules.quality_rules(docs.limit(0), labels).count() == 0
+    assert quality_rules.quality_rules(docs, labels.limit(0)).filter("kept and base_failed or size(broken) > 0").count() == 0
 
 
 def test_rules_judge_doubled_neighbours(spark):

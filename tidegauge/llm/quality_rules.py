@@ -4,14 +4,15 @@ Each rule rejects a document whose ratio exceeds a cutoff. For every stratum (la
 cutoffs of a fixed grid are tested on the labelled good documents: a cutoff is admissible if, were its true
 rate of false rejection `rule_risk` or more, so few rejections among n good documents would have a probability
 of at most delta / (strata * rules * cutoffs): an exact binomial tail with Bonferroni's correction. With
-probability 1 - delta no stratum loses more than rules * rule_risk
-of its good documents. Of a rule's admissible cutoffs the one with the largest gain is used: the share of labelled
+probability 1 - delta no stratum loses more than rules * rule_risk of those good documents that pass the base rule, which
+is fixed, not learnt, and comes first. Of a rule's admissible cutoffs the one with the largest gain is used: the share of labelled
 bad documents that it rejects less `price` times that of good ones; equal gains take the highest cutoff. A rule
 without an admissible cutoff (too few labels) or without any gain rejects nothing in that stratum.
 
 Words are `[^\x20\x09-\x0D]+`. Defined results: null and wordless texts have zeros and fail the base rule;
-a null stratum is a stratum of its own; repeated rows are each judged; an empty table gives no rows; labels of
-unknown documents, null labels and conflicting labels (the worst counts) are no obstacle.
+a null stratum is a stratum of its own; repeated rows are each judged; very long texts are taken whole; an empty table
+gives no rows; labels of unknown documents, null labels and conflicting labels (the worst counts) are no obstacle; columns
+other than the named ones are never read.
 """
 
 from __future__ import annotations
@@ -40,15 +41,9 @@ class Risk:
             "repeat_share": [0.01, 0.02, 0.05, 0.1, 0.15],
             "dup_line_share": [0.05, 0.1, 0.2, 0.3, 0.5],
             "chars_per_word": [9.0, 10.0, 12.0, 15.0, 20.0],
+            "same_neighbour_share": [0.02, 0.05, 0.1, 0.2, 0.3],
         }
     )
-    #: Not among `cutoffs`, as oracle() doesn't know this rule.
-    same_neighbour_share: tuple = (0.02, 0.05, 0.1, 0.2, 0.3)
-
-    @property
-    def rules(self) -> dict:
-        """Every rule's cutoffs."""
-        return {**self.cutoffs, "same_neighbour_share": self.same_neighbour_share}
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -88,7 +83,7 @@ def base_failed() -> Column:
 
 def thresholds(marked: DataFrame, risk: Risk) -> DataFrame:
     """(stratum, rule, cutoff): of the admissible cutoffs the one that serves best; `marked` has stratum, ratios and good (boolean)."""
-    grid = [(rule, cut) for rule, cuts in risk.rules.items() for cut in cuts]
+    grid = [(rule, cut) for rule, cuts in risk.cutoffs.items() for cut in cuts]
     over = lambda rule, cut, good: F.count_if((F.col(rule) > cut) & (F.col("good") == good))
     counts = marked.groupBy("stratum").agg(
         F.count_if("good").alias("n"), F.count_if(~F.col("good")).alias("m"),
@@ -117,11 +112,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), doc_i
     marked = known.filter(~base_failed()).join(marks, F.col("doc_id") == F.col("m_id")).withColumn("good", F.col("m") > 0)
     cuts = C.materialize(thresholds(marked, risk), "cutoffs")
     # One row for each stratum; a stratum without any cutoff has none. The number of strata is counted before it is broadcast.
-    table = cuts.groupBy("stratum").pivot("rule", list(risk.rules)).agg(F.min("cutoff"))
-    table = table.select(F.col("stratum").alias("c_stratum"), *[F.col(rule).alias(f"c_{rule}") for rule in risk.rules])
+    table = cuts.groupBy("stratum").pivot("rule", list(risk.cutoffs)).agg(F.min("cutoff"))
+    table = table.select(F.col("stratum").alias("c_stratum"), *[F.col(rule).alias(f"c_{rule}") for rule in risk.cutoffs])
     table = F.broadcast(table) if table.count() <= 10_000 else table
     judged = known.join(table, F.col("stratum").eqNullSafe(F.col("c_stratum")), "left")
-    broken = F.filter(F.array(*[F.when(F.col(rule) > F.col(f"c_{rule}"), F.lit(rule)) for rule in risk.rules]), lambda x: x.isNotNull())
+    broken = F.filter(F.array(*[F.when(F.col(rule) > F.col(f"c_{rule}"), F.lit(rule)) for rule in risk.cutoffs]), lambda x: x.isNotNull())
     judged = judged.select("doc_id", *BASE, base_failed().alias("base_failed"), "stratum", broken.alias("broken"))
     return judged.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "stratum", "broken")
 
@@ -138,9 +133,10 @@ r AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p,
 base AS (SELECT d.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
     length(regexp_replace(text, '[^!]+', '', 'g')) AS n_shouts, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
     len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_own_lines,
-    coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
+    len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_same, coalesce(r.n, 0) AS n_repeat_words FROM d LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, n_lines - n_own_lines AS n_dup_lines, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbols_per_word, n_shouts / greatest(n_words, 1) AS shouts_per_word,
-    n_repeat_words / greatest(n_words, 1) AS repeat_share, (n_lines - n_own_lines) / greatest(n_lines, 1) AS dup_line_share, word_chars / greatest(n_words, 1) AS chars_per_word FROM base),
+    n_repeat_words / greatest(n_words, 1) AS repeat_share, (n_lines - n_own_lines) / greatest(n_lines, 1) AS dup_line_share, word_chars / greatest(n_words, 1) AS chars_per_word,
+    n_same / greatest(n_words, 1) AS same_neighbour_share FROM base),
 t(rule, cutoff) AS (VALUES {tests}),
 marked AS (SELECT f.*, m > 0 AS good FROM f JOIN (SELECT doc_id, min(quality) AS m FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id) WHERE NOT base_failed),
 k AS (SELECT lang, rule, cutoff, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE NOT good) AS m, count(*) FILTER (WHERE good AND {value} > cutoff) AS k, count(*) FILTER (WHERE NOT good AND {value} > cutoff) AS b FROM marked, t GROUP BY ALL HAVING n > 0),
