@@ -242,7 +242,7 @@ def _tally(most: int = 4_000_000):
 SUMS = "slot int, part int, weight double, vec binary"
 
 
-def _train(cfg: WindowLm, counts, flat, round_: int, slot: int = 8192):
+def _train(cfg: WindowLm, counts, flat, round_: int, slot: int = 1024):
     """Each part's parameters after its own rows, times its number of windows, in slots."""
 
     def run(batches):
