@@ -102,3 +102,43 @@ def test_catalog(spark):
     c.drop_function("twice")
     s = Sequence()
     assert (s.nextval(), s.nextval(), s.currval(), s.setval(9), s.nextval()) == (1, 2, 2, 9, 10)
+
+
+def test_integer_power_is_exact(spark):
+    from pyspark.sql import functions as F
+
+    from tidegauge.functions import scalar
+
+    rows = [(3, 39), (-3, 39), (2, 62), (-2, 63), (7, 0), (0, 5), (1, 10**6), (-1, 10**6 + 1), (10, 18)]
+    df = spark.createDataFrame(rows, "x long, y long")
+    assert [r[0] for r in df.select(scalar.pow_int(F.col("x"), F.col("y"))).collect()] == [x**y for x, y in rows]
+    for x, y in ((2, 63), (3, 41), (10, 400), (2, -1)):
+        with pytest.raises(Exception, match="out of range"):
+            spark.createDataFrame([(x, y)], "x long, y long").select(scalar.pow_int(F.col("x"), F.col("y"))).collect()
+
+
+def test_checksums_of_many_texts(spark):
+    from pyspark.sql import functions as F
+
+    from tidegauge.functions import scalar
+
+    texts = ["123456789", "", None, "a", "é" * 300, "123456789"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("k", scalar.crc32c(F.col("t")).alias("c"), scalar.fnv64a(F.col("t")).alias("f")).orderBy("k").collect()
+
+    def fnv(t):
+        h = 0xCBF29CE484222325
+        for byte in t.encode():
+            h = ((h ^ byte) * 0x100000001B3) % 2**64
+        return h - 2**64 if h >= 2**63 else h
+
+    assert [r.f for r in rows] == [None if t is None else fnv(t) for t in texts]
+    assert (rows[0].c, rows[1].c, rows[2].c, rows[5].c) == (0xE3069283, 0, None, 0xE3069283)
+
+
+def test_json_keys_with_dots_and_brackets(spark):
+    from pyspark.sql import functions as F
+
+    from tidegauge.functions import jsonb
+
+    df = spark.createDataFrame([('{"a.b": {"c[0]": [5, 6]}, "a": {"b": 1}}',)], "j string")
+    assert df.select(jsonb.get(F.col("j"), "a.b", "c[0]", 1)).first()[0] == "6"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -121,7 +122,8 @@ def area(a) -> float:
 def _two(of, kind):
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None or y is None else of(parse(x), parse(y)) for x, y in zip(a, b)], dtype=object)
+        read = functools.lru_cache(256)(parse)  # a constant side is read once a batch
+        return pd.Series([None if x is None or y is None else of(read(x), read(y)) for x, y in zip(a, b)], dtype=object)
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 def get(x: Column, *path: str | int) -> Column:
     """->> and #>>: the text at a path."""
-    return F.get_json_object(x, "$" + "".join(f"[{p}]" if isinstance(p, int) else f".{p}" for p in path))
+    return F.get_json_object(x, "$" + "".join(f"[{p}]" if isinstance(p, int) else f"['{p}']" for p in path))
 
 
 def _holds(a, b) -> bool:
@@ -28,7 +29,8 @@ def _holds(a, b) -> bool:
 @F.pandas_udf(T.BooleanType())
 def contains(a: pd.Series, b: pd.Series) -> pd.Series:
     """a @> b."""
-    return pd.Series([None if x is None or y is None else _holds(json.loads(x), json.loads(y)) for x, y in zip(a, b)], dtype=object)
+    read = functools.lru_cache(64)(json.loads)  # a constant side is read once a batch
+    return pd.Series([None if x is None or y is None else _holds(json.loads(x), read(y)) for x, y in zip(a, b)], dtype=object)
 
 
 def _keys(a) -> set:
@@ -68,3 +70,9 @@ def remove(a: pd.Series, path: pd.Series) -> pd.Series:
 def typeof(x: Column) -> Column:
     start = F.substring(F.trim(x), 1, 1)
     return F.when(start == "{", "object").when(start == "[", "array").when(start == '"', "string").when(start.isin("t", "f"), "boolean").when(start == "n", "null").when(x.isNotNull(), "number")
+
+
+@F.pandas_udf(T.StringType())
+def pretty(a: pd.Series) -> pd.Series:
+    """Indented by four spaces, keys in order."""
+    return pd.Series([None if x is None else json.dumps(json.loads(x), indent=4, sort_keys=True, ensure_ascii=False) for x in a], dtype=object)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import operator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -28,9 +29,15 @@ def sqrt(x: Column) -> Column:
 
 
 def pow_int(x: Column, y: Column) -> Column:
-    """Integer power; beyond 64 bits is an error."""
-    value = F.pow(x.cast("double"), y.cast("double"))
-    return F.when(F.abs(value) >= 9.223372036854775807e18, F.raise_error(F.lit("integer out of range")).cast("bigint")).otherwise(value.cast("bigint"))
+    """Integer power by repeated multiplication; a result beyond 64 bits or a negative exponent is an error."""
+    big, bound = "decimal(38,0)", F.lit(str(2**63)).cast("decimal(38,0)")
+    wrong = F.raise_error(F.lit("integer out of range")).cast(big)
+    times = lambda a, _: F.when(F.abs(a) >= bound, wrong).otherwise((a * x.cast("decimal(19,0)")).cast(big))
+    # Beyond 64 factors only -1, 0 and 1 stay in range; their power depends on whether the exponent is even.
+    factors = F.when(y <= 64, y).otherwise(F.when(F.abs(x) <= 1, 2 + y % 2).otherwise(65))
+    value = F.aggregate(F.when(y > 0, F.sequence(F.lit(1), factors.cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(1).cast(big), times)
+    value = F.when(y < 0, wrong).when((value >= bound) | (value < -bound), wrong).otherwise(value)
+    return value.cast("bigint")
 
 
 def div(x: Column, y: Column) -> Column:
@@ -100,20 +107,34 @@ def array_contains_all(a: Column, b: Column) -> Column:
     return F.size(F.array_except(b, a)) == 0
 
 
+def _each_byte(s: pd.Series, start: int, step) -> pd.Series:
+    """A checksum of many texts at once: `step` takes the state of all texts that are long enough and their next byte."""
+    known = s.notna().to_numpy()
+    raw = [t.encode() for t in s[known]]
+    sizes = np.array([len(r) for r in raw], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    flat, starts = np.frombuffer(b"".join(raw[k] for k in order), np.uint8), np.concatenate([[0], np.cumsum(sizes[order])[:-1]]).astype(np.int64)
+    h, longest = np.full(len(raw), start, np.uint64), int(sizes.max(initial=0))
+    left = np.searchsorted(-sizes[order], -np.arange(longest), side="left")
+    for k in range(longest):
+        n = left[k]
+        h[:n] = step(h[:n], flat[starts[:n] + k].astype(np.uint64))
+    back = np.empty(len(raw), np.uint64)
+    back[order] = h
+    out = pd.Series(pd.NA, index=s.index, dtype="Int64")
+    out[known] = back.view(np.int64)
+    return out
+
+
 def _fnv(bits: int, prime: int, basis: int, xor_first: bool):
-    mask = (1 << bits) - 1
+    mask, prime = np.uint64((1 << bits) - 1), np.uint64(prime)
 
-    def one(text):
-        if text is None:
-            return None
-        h = basis
-        for byte in text.encode():
-            h = ((h ^ byte) * prime) & mask if xor_first else ((h * prime) & mask) ^ byte
-        return h - (1 << 64) if h >= 1 << 63 else h
+    def step(h, byte):
+        return ((h ^ byte) * prime) & mask if xor_first else ((h * prime) & mask) ^ byte
 
     @F.pandas_udf(T.LongType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(one, na_action="ignore").astype("Int64")
+        return _each_byte(s, basis, step)
 
     return run
 
@@ -127,26 +148,17 @@ fnv32, fnv32a = (_fnv(32, *FNV[32], xor_first) for xor_first in (False, True))
 fnv64, fnv64a = (_fnv(64, *FNV[64], xor_first) for xor_first in (False, True))
 
 
-def _crc_table() -> list[int]:
-    table = []
-    for value in range(256):
-        for _ in range(8):
-            value = (value >> 1) ^ (CRC32C if value & 1 else 0)
-        table.append(value)
+def _crc_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint64)
+    for _ in range(8):
+        table = (table >> np.uint64(1)) ^ np.where(table & np.uint64(1), np.uint64(CRC32C), np.uint64(0))
     return table
 
 
 @F.pandas_udf(T.LongType())
 def crc32c(s: pd.Series) -> pd.Series:
     table = _crc_table()
-
-    def one(text):
-        h = 0xFFFFFFFF
-        for byte in text.encode():
-            h = (h >> 8) ^ table[(h ^ byte) & 255]
-        return h ^ 0xFFFFFFFF
-
-    return s.map(one, na_action="ignore").astype("Int64")
+    return _each_byte(s, 0xFFFFFFFF, lambda h, byte: (h >> np.uint64(8)) ^ table[((h ^ byte) & np.uint64(255)).astype(np.int64)]) ^ 0xFFFFFFFF
 
 
 def crc32ieee(x: Column) -> Column:

@@ -39,7 +39,7 @@ def metrics_query(df: DataFrame, name: str, source: str, ts: str, value: str, pe
         return out
     w = Window.partitionBy("name").orderBy("bucket")
     rate = (F.col("value") - F.lag("value").over(w)) / ((F.unix_micros("bucket") - F.unix_micros(F.lag("bucket").over(w))) / 1e6)
-    rate = F.greatest(rate, F.lit(0.0)) if derivative == "non_negative" else rate
+    rate = F.when(rate < 0, F.lit(0.0)).otherwise(rate) if derivative == "non_negative" else rate
     return out.withColumn("value", rate).filter("value is not null")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import broadcast_if_small, materialize
+
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[tuple[str, bool]]) -> DataFrame:
     """First row of each key in `order`, given as (column, ascending); the keys must be the order's prefix."""
@@ -28,8 +30,8 @@ def with_ordinality(df: DataFrame, order: Sequence[str], name: str = "ordinality
     keys = [*order, *[c for c in df.columns if c not in order]]
     parts = max(1, -(-df.count() // rows_per_range))
     ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id())
-    # Ranges are fixed by writing them once; a second evaluation could draw other bounds.
-    ranged = ranged.persist()
+    # Ranges are fixed by writing them once into the shared folder; a second evaluation could draw other bounds.
+    ranged = materialize(ranged, "ranges")
     counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__c"))
     start = counts.withColumn("__s", F.coalesce(F.sum("__c").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__c")
     numbered = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy(*keys)))
@@ -42,10 +44,9 @@ def rows_from(df: DataFrame, **arrays: Column) -> DataFrame:
     return zipped.toDF(*df.columns, *arrays)
 
 
-def lookup_join(facts: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """A join that looks a bounded side up: broadcast if it is counted to be small, else dealt out with skew handling."""
-    small = side.limit(broadcast_rows + 1).count() <= broadcast_rows
-    return facts.join(F.broadcast(side) if small and how not in ("right", "full") else side, list(on), how)
+def lookup_join(facts: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", broadcast_bytes: int = 64 << 20) -> DataFrame:
+    """A join that looks a bounded side up: broadcast if its bytes are summed to be few, else dealt out with skew handling."""
+    return facts.join(broadcast_if_small(side, broadcast_bytes) if how not in ("right", "full") else side, list(on), how)
 
 
 def max_one_row(df: DataFrame) -> DataFrame:
@@ -57,6 +58,7 @@ def max_one_row(df: DataFrame) -> DataFrame:
 
 
 def salted_aggregate(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], merges: dict[str, Column], salts: int = 32) -> DataFrame:
-    """A two-step aggregate for hot keys whose first step can't be thinned before the shuffle."""
-    first = df.withColumn("__s", (F.rand(7) * salts).cast("int")).groupBy(*keys, "__s").agg(*[a.alias(n) for n, a in sums.items()])
+    """A two-step aggregate for hot keys whose first step can't be thinned before the shuffle. The salt is the number of the
+    rows' task, so a task that runs again, with its rows in whatever order, deals them out as before."""
+    first = df.withColumn("__s", F.pmod(F.spark_partition_id(), F.lit(salts))).groupBy(*keys, "__s").agg(*[a.alias(n) for n, a in sums.items()])
     return first.groupBy(*keys).agg(*[a.alias(n) for n, a in merges.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timeseries import time_bucket, width_of
+from ..shared import broadcast_if_small
 
 DEDUP_RULES = ("override", "discard", "keep", "reject", "merge")
 
@@ -112,13 +113,12 @@ def delete_span(df: DataFrame, ts: str, start, end, entity: Column) -> DataFrame
     return df.filter(~F.coalesce(entity & F.col(ts).between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")), F.lit(False)))
 
 
-def aggregate_then_join(facts: DataFrame, dims: DataFrame, key: str, sums: Mapping[str, Column], by: Sequence[str], counts: Sequence[str] = (), also_by: Sequence[str] = (), broadcast_rows: int = 1_000_000) -> DataFrame:
+def aggregate_then_join(facts: DataFrame, dims: DataFrame, key: str, sums: Mapping[str, Column], by: Sequence[str], counts: Sequence[str] = (), also_by: Sequence[str] = (), broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Inside-out aggregation of a join on a tag: facts are first aggregated per tag value (and `also_by`), then joined to the
     relational side and aggregated again. `sums` are aggregates that add up; counts, too, are summed and 0 without rows.
-    The relational side is broadcast if it is counted to be small; the key must be unique there."""
+    The relational side is broadcast if its bytes are summed to be few; the key must be unique there."""
     part = facts.groupBy(key, *also_by).agg(*[a.alias(n) for n, a in sums.items()])
-    side = F.broadcast(dims) if dims.limit(broadcast_rows + 1).count() <= broadcast_rows else dims
-    joined = part.join(side, key)
+    joined = part.join(broadcast_if_small(dims, broadcast_bytes), key)
     out = joined.groupBy(*by, *also_by) if by or also_by else joined
     return out.agg(*[(F.coalesce(F.sum(n), F.lit(0)) if n in counts else F.sum(n)).alias(n) for n in sums])
 
