@@ -6,7 +6,7 @@ projected gradient. The gradient of half the squared error by a document's rate
 taken in a metric of their own (a scaled projected gradient): a document's tokens don't count, so that long documents move
 no faster than short ones, and the error is multiplied by the inverse of the Gram matrix of tokens * posterior *
 posterior over the documents that can move, so that rare domains move as fast as frequent ones. Each pass sums totals and
-matrix in the cluster and brings those few numbers to the driver, which halves a step until the error falls. A rate
+matrix in the cluster and brings those few numbers to the driver, which shortens a step until the error falls. A rate
 depends on the posterior and on the steps so far alone, so no rates are kept between passes. Passes end when the targets
 are met, or when no step brings the totals nearer, as with targets out of reach; the result says how far off they are.
 
@@ -53,28 +53,33 @@ def _rate(steps: list[np.ndarray], start: float, most: float | None, prefix: str
     return rate
 
 
-def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None, tolerance: float = 1e-4, gain: float = 1e-3, most_passes: int = 100, prefix: str = "") -> tuple[Column, np.ndarray]:
+def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None, tolerance: float = 1e-4, gain: float = 1e-2, least_step: float = 1e-2, most_passes: int = 100, prefix: str = "") -> tuple[Column, np.ndarray]:
     """The rate of each row of `table` (n_tokens, p_*) and the domain totals that the rates give; targets are token totals.
-    Ends when the error is within `tolerance` of the total, or a whole step takes less than `gain` of it away."""
+    Ends when the error is within `tolerance` of the total. A step that takes less than `gain` of the error away makes the
+    next ones four times shorter, and steps shorter than `least_step` end the search: no way leads nearer."""
     k = len(DOMAINS)
-    p, n = [F.col(f"{prefix}p_{d}") for d in DOMAINS], F.col(prefix + "n_tokens")
-    scale = max(1.0, float(np.sum(targets)))
+    p, scale = [F.col(f"p{a}") for a in range(k)], max(1.0, float(np.sum(targets)))
+    names = [F.col(f"{prefix}p_{d}").alias(f"p{a}") for a, d in enumerate(DOMAINS)]
 
     def totals(steps: list[np.ndarray], error: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        w = _rate(steps, 1.0, most, prefix)
+        # The rate, whose expression grows with the steps, stands in the plan once.
+        rows = table.select(F.col(prefix + "n_tokens").alias("n"), *names, _rate(steps, 1.0, most, prefix).alias("w"))
         # A rate at a bound that the error pushes it against can't move.
         pull = sum((x * float(e) for x, e in zip(p[1:], error[1:])), p[0] * float(error[0])) if error is not None else F.lit(0.0)
-        moves = ~((w <= 0) & (pull > 0))
-        moves = moves & ~((w >= most) & (pull < 0)) if most is not None else moves
-        sums = [F.sum(w * n * x) for x in p] + [F.sum(F.when(moves, n * p[a] * p[b]).otherwise(0.0)) for a in range(k) for b in range(k)]
-        row = np.array([x or 0.0 for x in table.agg(*sums).first()])
-        return row[:k], row[k:].reshape(k, k)
+        moves = ~((F.col("w") <= 0) & (pull > 0))
+        moves = moves & ~((F.col("w") >= most) & (pull < 0)) if most is not None else moves
+        rows = rows.select("n", *p, "w", F.when(moves, F.col("n")).otherwise(0).alias("m"))
+        row = rows.agg(*[F.sum(F.col("w") * F.col("n") * x) for x in p], *[F.sum(F.col("m") * p[a] * p[b]) for a in range(k) for b in range(a, k)]).first()
+        row, gram = [x or 0.0 for x in row], np.zeros((k, k))
+        for (a, b), x in zip([(a, b) for a in range(k) for b in range(a, k)], row[k:]):
+            gram[a, b] = gram[b, a] = x
+        return np.array(row[:k]), gram
 
     steps: list[np.ndarray] = []
     got, gram = totals(steps, None)
     error, size = got - targets, 1.0
     for _ in range(most_passes):
-        if np.linalg.norm(error) <= tolerance * scale or size < 1e-3:
+        if np.linalg.norm(error) <= tolerance * scale or size < least_step:
             return _rate(steps, 1.0, most, prefix), got
         ridge = 1e-6 * max(np.trace(gram), scale * 1e-9) * np.eye(k)
         step = size * np.linalg.solve(gram + ridge, error)
@@ -82,9 +87,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, most: float | None = None,
         less = 1 - np.linalg.norm(new - targets) / np.linalg.norm(error)
         if less > 0:
             steps, got, gram, error = [*steps, step], new, new_gram, new - targets
-            size = min(1.0, 2 * size) if less > gain else size / 8
-        else:
-            size /= 2
+        size = min(1.0, 2 * size) if less > gain else size / 4
     raise RuntimeError(f"rates still move after {most_passes} passes: {got} of {targets}")
 
 
