@@ -16,7 +16,9 @@ from ..operators import metrics, relational
 from ..operators import timeseries as series
 from ..session import table, with_views
 from ..shared import broadcast_if_small
+from ..sources import series as ts_tables
 from ..sources import tables
+from ..sources.catalog import TimeSeriesTable
 from . import dialect, forms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -338,5 +340,56 @@ def mutation_foreign_keys(t):
     return tables.foreign_key_violations(t("orders"), t("customer").filter("c_acctbal > 0"), {"o_custkey": "c_custkey"}).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Mutations of time-series tables.
+
+DAILY = TimeSeriesTable("daily", "day", ("value", "n"), ("user_id", "label"), ("user_id",), 10)
+DAYS = "(SELECT user_id, date_trunc('day', ts) AS day, max(value) AS value, CASE WHEN count(*) > 1 THEN count(*) END AS n, 'u' || user_id AS label FROM events WHERE event_id % 2 = {} GROUP BY ALL)"
+BOTH = f"SELECT coalesce(o.user_id, w.user_id) AS user_id, coalesce(o.day, w.day) AS day, {{}} AS value, {{}} AS n FROM {DAYS.format(0)} o FULL JOIN (SELECT * FROM {DAYS.format(1)} WHERE day < TIMESTAMP '2024-01-16') w ON o.user_id = w.user_id AND o.day = w.day"
+
+
+def _days(t, odd: int) -> DataFrame:
+    rows = t("events").filter(F.col("event_id") % 2 == odd).groupBy("user_id", F.date_trunc("day", "ts").alias("day"))
+    return rows.agg(F.max("value").alias("value"), F.expr("CASE WHEN count(1) > 1 THEN count(1) END").alias("n")).withColumn("label", F.concat(F.lit("u"), F.col("user_id")))
+
+
+def _inserted(t, rule: str) -> DataFrame:
+    return ts_tables.insert(_days(t, 0), _days(t, 1).filter("day < timestamp '2024-01-16'"), DAILY, rule).drop("label")
+
+
+@frame(BOTH.format("CASE WHEN w.user_id IS NULL THEN o.value ELSE w.value END", "CASE WHEN w.user_id IS NULL THEN o.n ELSE w.n END"))
+def ts_insert_override(t):
+    return _inserted(t, "override")
+
+
+@frame(BOTH.format("CASE WHEN o.user_id IS NULL THEN w.value ELSE o.value END", "CASE WHEN o.user_id IS NULL THEN w.n ELSE o.n END"))
+def ts_insert_discard(t):
+    return _inserted(t, "discard")
+
+
+@frame(BOTH.format("coalesce(w.value, o.value)", "coalesce(w.n, o.n)"))
+def ts_insert_merge(t):
+    return _inserted(t, "merge")
+
+
+@frame(f"SELECT user_id, day, CASE WHEN user_id < 20 THEN 'low' ELSE label END AS label FROM {DAYS.format(0)}")
+def ts_update_tags(t):
+    return ts_tables.update_tags(_days(t, 0), DAILY, {"label": F.lit("low")}, F.col("user_id") < 20).select("user_id", "day", "label")
+
+
+@frame(f"SELECT user_id, day, CAST(value AS VARCHAR) IS NOT NULL AS text, label AS name, CAST(NULL AS DOUBLE) AS extra FROM {DAYS.format(0)}")
+def ts_alter(t):
+    out, _ = ts_tables.alter(_days(t, 0), DAILY, add={"extra": "double"}, drop=["n"], rename={"label": "name"}, retype={"value": "string"})
+    return out.withColumn("text", F.col("value").isNotNull()).drop("value")
+
+
+def ts_statistic_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = [F.count(F.lit(1)).alias("n"), F.count("value").alias("filled"), F.min("event_id").alias("least"), F.max("event_id").alias("most"), F.max("value").alias("high")]
+    return ts_tables.statistic_scan(spark, f"{sf_dir}/events.parquet", asked)
+
+
+QUERIES["ts_statistic_scan"] = ts_statistic_scan
+SQL["ts_statistic_scan"] = "SELECT count(*) AS n, count(value) AS filled, min(event_id) AS least, max(event_id) AS most, max(value) AS high FROM events"
+
+
 for _name, (_text, *_duck) in forms.FORMS.items():
     sql(_name, _text, *_duck)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.timeseries import retain
+
 
 @dataclass(frozen=True)
 class TimeSeriesTable:
@@ -34,8 +36,13 @@ class Catalog:
     functions: dict[str, str] = field(default_factory=dict)
 
     def register(self, name: str, df: DataFrame, series: TimeSeriesTable | None = None) -> None:
+        """A table; scans of a time-series table with a retention, by SQL too, have only rows that aren't expired then."""
         self.tables[name] = (df, series)
-        df.createOrReplaceTempView(name)
+        self.scan(name).createOrReplaceTempView(name)
+
+    def scan(self, name: str, now: Column | None = None) -> DataFrame:
+        df, series = self.tables[name]
+        return retain(df, series.ts, series.retention_days, now) if series and series.retention_days else df
 
     def show_tables(self) -> DataFrame:
         rows = [(n, "TIME SERIES" if s else "BASE") for n, (_, s) in sorted(self.tables.items())]
