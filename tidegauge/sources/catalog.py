@@ -36,13 +36,16 @@ class Catalog:
     functions: dict[str, str] = field(default_factory=dict)
 
     def register(self, name: str, df: DataFrame, series: TimeSeriesTable | None = None) -> None:
-        """A table; scans of a time-series table with a retention, by SQL too, have only rows that aren't expired then."""
+        """A table; scans of a time-series table with a retention, by SQL too, have only rows that aren't expired then.
+        Retention needs a column of times: numbers have no age, and such a table keeps all rows."""
         self.tables[name] = (df, series)
         self.scan(name).createOrReplaceTempView(name)
 
     def scan(self, name: str, now: Column | None = None) -> DataFrame:
         df, series = self.tables[name]
-        return retain(df, series.ts, series.retention_days, now) if series and series.retention_days else df
+        if series and series.retention_days and isinstance(df.schema[series.ts].dataType, T.TimestampType | T.TimestampNTZType | T.DateType):
+            return retain(df, series.ts, series.retention_days, now)
+        return df
 
     def show_tables(self) -> DataFrame:
         rows = [(n, "TIME SERIES" if s else "BASE") for n, (_, s) in sorted(self.tables.items())]
