@@ -220,6 +220,18 @@ def test_places_of_hashed_words():
     assert [len(x) for x in nothing] == [0, 0, 0]
 
 
+def test_scores_do_not_depend_on_the_rows_at_once():
+    cfg, rng = masked_lm.WindowLm(), np.random.default_rng(3)
+    flat = masked_lm.Net(cfg).flat * 5
+    plain, net, n = masked_lm.Net(cfg, flat), masked_lm.Net(cfg, flat).for_scoring(), 700
+    ids, context = rng.integers(0, cfg.own_words, n).astype(np.uint16), rng.integers(0, cfg.pad + 1, (4, n)).astype(np.uint16)
+    cls, tail = (ids // cfg.width).astype(np.uint8), np.zeros(n, np.float32)
+    whole = net.log_probs(ids, context, cls, tail)
+    for m in (1, 2, 3, 5, 16, 33, 699):
+        assert net.log_probs(ids[:m], context[:, :m], cls[:m], tail[:m]).tolist() == whole[:m].tolist()
+    assert np.abs(whole - plain.log_probs(ids, context, cls, tail)).max() < 0.02
+
+
 def test_masked_lm_of_odd_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, None), (3, "x " * 30_000)], "doc_id long, text string").withColumn("words", F.lit(0))
     got = masked_lm.pseudo_likelihood(docs).collect()

@@ -14,8 +14,8 @@ Each part is learnt from the same start, and the parts' parameters are averaged,
 the cluster. The driver holds one set of parameters (0.6 MB) and the counters (5 bytes each).
 
 Words are those of lower-cased texts (letters and digits). Very long texts are taken whole, a stretch at a time. Defined
-results: null and wordless texts have no tokens, a sum of 0 and a null mean; rows that repeat an id are scored each; an
-empty table gives no rows; columns other than the named ones are never read.
+results: null and wordless texts have no tokens, a sum of 0 and a null mean; rows that repeat an id are scored each, and
+equal texts alike; an empty table gives no rows; columns other than the named ones are never read.
 """
 
 from __future__ import annotations
@@ -67,9 +67,15 @@ def log_softmax_at(s: np.ndarray, at: np.ndarray) -> np.ndarray:
     return picked - np.log(s.sum(1))
 
 
+#: Steps from 0 to 1 in which scoring takes the hidden values.
+HIDDEN_STEPS = 1024
+
+
 class Net:
     """Parameters in one flat vector; the last column of `cls` and `word` is the offset, for which `hidden` ends in a one."""
 
+    scoring = False
+
     def __init__(self, cfg: WindowLm, flat: np.ndarray | None = None):
         self.cfg = cfg
         d = cfg.dim
@@ -86,6 +92,17 @@ class Net:
             setattr(self, k, self.flat[at : at + n].reshape(s))
             at += n
 
+    def for_scoring(self) -> Net:
+        """From now on outputs are sums of multiples of a power of two, small enough that float32 adds them without rounding.
+        How a library orders such sums, which differs with the number of rows at once, then can't tell equal texts apart."""
+        tops = (self.cls, self.word)
+        most = max(1.0, *(float(np.abs(x).sum(-1).max()) for x in tops))
+        steps = np.float32(2.0 ** (23 - np.log2(HIDDEN_STEPS) - np.ceil(np.log2(most))))
+        for x in tops:
+            x[...] = np.rint(x * steps) / steps
+        self.scoring = True
+        return self
+
     def embedded(self, context: np.ndarray) -> np.ndarray:
         """(2 * side, n, dim)"""
         return self.embed.take(context.ravel(), axis=0).reshape(*context.shape, self.cfg.dim)
@@ -105,6 +122,8 @@ class Net:
 
     def log_probs(self, ids: np.ndarray, context: np.ndarray, cls: np.ndarray, tail: np.ndarray) -> np.ndarray:
         h = self.hidden(self.embedded(context))
+        if self.scoring:
+            h = np.rint(h * np.float32(HIDDEN_STEPS)) / np.float32(HIDDEN_STEPS)
         out = log_softmax_at(h @ self.cls.T, cls) + tail
         order, runs = self.by_class(cls)
         hs, t = h[order], np.empty((len(order), self.cfg.width), np.float32)
@@ -282,7 +301,7 @@ def _average(parts: DataFrame) -> np.ndarray:
 
 def _score(cfg: WindowLm, counts, flat, most: int = 4096):
     def run(batches):
-        net, places = Net(cfg, flat.value), Places(cfg, counts.value)
+        net, places = Net(cfg, flat.value).for_scoring(), Places(cfg, counts.value)
         for batch in C.pieces(batches, 100):
             sizes, sums = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
             for ids, context, cls, tail, owner in windows(cfg, map(places.of, batch.column(1).to_pylist())):
