@@ -308,7 +308,28 @@ def quantified(t):
     return t("part").select("p_partkey", scalar.any_of(size, "=", arr(10, 20, 30)).alias("any_eq"), scalar.all_of(size, ">", arr(5, 9)).alias("all_gt"), scalar.between_symmetric(size, F.lit(40), F.lit(10)).alias("sym"), scalar.array_contains_all(F.sequence(F.lit(1), size), arr(21)).alias("has"))
 
 
-@frame()
+def _table_crc(polynomial: int) -> str:
+    """The remainders of all bytes for a reflected polynomial."""
+    return f"list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, {polynomial}) ELSE c // 2 END))"
+
+
+def _fnv_sql(bits: int, xor_first: bool) -> str:
+    prime, basis = scalar.FNV[bits]
+    step = f"xor(h, b) * {prime} % {1 << bits}" if xor_first else f"xor(h * {prime} % {1 << bits}, b)"
+    h = f"list_reduce(list_prepend(CAST({basis} AS HUGEINT), bytes), lambda h, b: {step})"
+    return f"CAST({h} - CASE WHEN {h} >= {1 << 63} THEN {1 << 64} ELSE 0 END AS BIGINT)"
+
+
+def _crc_sql(table: str) -> str:
+    return f"xor(list_reduce(list_prepend({0xFFFFFFFF}, low), lambda c, b: xor(c // 256, {table}[xor(c % 256, b) + 1])), {0xFFFFFFFF})"
+
+
+HASHES = f"""WITH t AS (SELECT {_table_crc(scalar.CRC32C)} AS castagnoli, {_table_crc(0xEDB88320)} AS ieee),
+n AS (SELECT n_nationkey, list_transform(string_split(n_name, ''), lambda c: CAST(ord(c) AS BIGINT)) AS low, list_transform(string_split(n_name, ''), lambda c: CAST(ord(c) AS HUGEINT)) AS bytes, castagnoli, ieee FROM nation, t)
+SELECT n_nationkey, {_fnv_sql(32, False)} AS fnv32, {_fnv_sql(32, True)} AS fnv32a, {_fnv_sql(64, False)} AS fnv64, {_fnv_sql(64, True)} AS fnv64a, {_crc_sql("castagnoli")} AS crc32c, {_crc_sql("ieee")} AS crc32ieee FROM n"""
+
+
+@frame(HASHES)
 def functions_hash(t):
     x = F.col("n_name")
     return t("nation").select("n_nationkey", scalar.fnv32(x).alias("fnv32"), scalar.fnv32a(x).alias("fnv32a"), scalar.fnv64(x).alias("fnv64"), scalar.fnv64a(x).alias("fnv64a"), scalar.crc32c(x).alias("crc32c"), scalar.crc32ieee(x).alias("crc32ieee"))
