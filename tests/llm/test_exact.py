@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -232,6 +233,15 @@ def test_interleaving_is_one_sort(spark):
     assert got == interleaved(rows, 7)
 
 
+def test_interleaving_in_sql(docs):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR, n_words INTEGER)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?, ?, ?)", [list(r) for r in ROWS])
+    found = con.sql(sharding.oracle(shards=7))
+    rows = sharding.interleave(docs, shards=7, rows_per_cell=5).select(*found.columns).collect()
+    assert sorted(map(tuple, rows)) == sorted(found.fetchall())
+
+
 def test_no_cell_is_hot(spark, monkeypatch):
     """One-row sources, null ids and rows that repeat id and text don't meet in one task."""
     rows = [(k, "x", "s%d" % k) for k in range(3000)] + [(None, "t%d" % k, "a") for k in range(3000)] + [(7, "same", "b")] * 3000

@@ -80,4 +80,4 @@ QUERIES = {
         op6_url_filter, op7_soft_membership_mixing, op8_quality_classifier, op9_masked_pseudo_likelihood, op10_token_counts,
     )
 }
-SQL = {"op2_quality_rules": quality_rules.oracle(), "op3_benchmark_decontamination": decontaminate.ORACLE, "op6_url_filter": OP6_SQL}
+SQL = {"op2_quality_rules": quality_rules.oracle(), "op3_benchmark_decontamination": decontaminate.ORACLE, "op4_stratified_interleaving": sharding.oracle(), "op6_url_filter": OP6_SQL}

@@ -65,3 +65,23 @@ def interleave(docs: DataFrame, shards: int = 40, seed: str = "tidegauge", rows_
     placed = placed.withColumn("shard", shard.cast("int"))
     slot = F.col("g") - F.expr(f"(cast(shard as long) * {total} + {shards - 1}) div {shards}")
     return placed.select("doc_id", "source", "size", "text_crc32", F.lit("rows").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The reflected polynomial of CRC-32.
+CRC32 = 0xEDB88320
+
+
+def oracle(shards: int = 40, seed: str = "tidegauge") -> str:
+    """DuckDB's SQL for the rows of op4, by window functions over whole sources and the whole order; for tables whose rows
+    differ in id or text (which place alike rows take is no matter of SQL)."""
+    table = f"list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, {CRC32}) ELSE c // 2 END))"
+    octets = "list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+    crc = f"xor(list_reduce(list_prepend({0xFFFFFFFF}, {octets}), lambda c, b: xor(c // 256, crcs[xor(c % 256, b) + 1])), {0xFFFFFFFF})"
+    return f"""WITH t AS (SELECT {table} AS crcs),
+d AS (SELECT doc_id, source, CAST(coalesce(octet_length(encode(text)), 0) + 16 AS BIGINT) AS size, {crc} AS text_crc32 FROM documents, t),
+h AS (SELECT *, md5('{seed}:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32 || ':') AS h,
+    (CAST('0x' || left(md5('{seed}:start:' || coalesce(source, '')), 8) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST({1 << 32} AS DOUBLE) AS start FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY h, doc_id, text_crc32, size) - 1 AS r, count(*) OVER (PARTITION BY source) AS n FROM h),
+g AS (SELECT *, row_number() OVER (ORDER BY (r + start) / n, source NULLS FIRST, r) - 1 AS g, count(*) OVER () AS total FROM r),
+s AS (SELECT *, g * {shards} // total AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INTEGER) AS shard, g - (shard * total + {shards - 1}) // {shards} AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s"""
